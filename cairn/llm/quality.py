@@ -8,8 +8,9 @@ whatever the word), and character trigrams.
 
 The target model is fitted on at most ``fit_rows`` labelled rows, those with the smallest hashes; the
 model of all text counts every document. The k-th key is found by histograms of the keys' bits, never
-by a sort of all. The noise of a document comes from its id, so reruns agree; k defaults to the number
-of documents that the target's model finds at least as likely as the other does.
+by a sort of all. The noise of a document comes from its id, so reruns agree; keys are told apart to a
+millionth. k defaults to the number of documents whose log weight an n-gram is not below a small
+tolerance: those that are about as likely under the target's model.
 
 Null and empty texts have weight 0. Rows that repeat an id have the same noise; at the last place ties
 are all kept. Null labels are not learnt from; without good labels all weights are 0. An empty table
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import Words, mix64, ready, slices, text_of, word_hash
 from cairn.plans.shared import written
 
-FIT_ROWS, BITS = 20_000, 16
+FIT_ROWS, BITS = 20_000, 13
+#: Weight of all text in the target's model, as a share of the target's counts; log weight an n-gram that a kept document may lack.
+PRIOR, TOLERANCE = 1.0, 0.02
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,6 +76,14 @@ class Grams:
         each = table[self.word] + np.bincount(self.tri_word, table[self.tri], len(w.distinct))
         return np.bincount(w.rows, each[w.codes], rows) + np.bincount(self.pair_row, table[self.pair], rows)
 
+    def sizes(self, rows: int) -> np.ndarray:
+        """Of each row, the number of its n-grams."""
+        w = self.words
+        if not len(w.codes):
+            return np.zeros(rows, np.int64)
+        each = 1 + np.bincount(self.tri_word, minlength=len(w.distinct))
+        return (np.bincount(w.rows, each[w.codes], rows) + np.bincount(self.pair_row, minlength=rows)).astype(np.int64)
+
 
 def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     every, good = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -97,15 +108,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
     every[at], good[at] = counts["every"].to_numpy(), counts["good"].to_numpy()
     if not good.sum():
         return np.zeros(1 << bits)
-    # the target's model leans on the other where it has seen little
+    # the target's model is mixed with the other, so that what few labelled rows hold isn't held against a text
     p = (every + 0.5) / (every.sum() + 0.5 * len(every))
-    return np.log((good + 50 * p * len(p) / 1000) / (good.sum() + 50 * len(p) / 1000) / p)
+    return np.log((good / good.sum() + PRIOR * p) / (1 + PRIOR) / p)
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         g = Grams(text_of(b.column("text")), bits)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(g.sums(table, b.num_rows))], ["doc_id", "log_weight"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(g.sums(table, b.num_rows)), pa.array(g.sizes(b.num_rows))], ["doc_id", "log_weight", "n_grams"])
 
 
 def kth_largest(keys: DataFrame, k: int, bits: int = 12) -> int | None:
@@ -130,22 +141,21 @@ def kth_largest(keys: DataFrame, k: int, bits: int = 12) -> int | None:
 
 
 def weigh(docs: DataFrame, table: np.ndarray, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, log_weight and key (with the noise)."""
+    """doc_id, log_weight, n_grams and key (with the noise)."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     bits = len(table).bit_length() - 1
-    out = rows.mapInArrow(partial(_weigh, table=table, bits=bits), f"doc_id {kind}, log_weight double")
+    out = rows.mapInArrow(partial(_weigh, table=table, bits=bits), f"doc_id {kind}, log_weight double, n_grams long")
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return out.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
 
 
-def resample(docs: DataFrame, table: np.ndarray, k: int | None = None, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, log_weight, key and kept: is the key among the ``k`` largest?"""
+def resample(docs: DataFrame, table: np.ndarray, k: int | None = None, tolerance: float = TOLERANCE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, log_weight, n_grams, key and kept: is the key among the ``k`` largest?"""
     rows = written(docs.sparkSession, weigh(docs, table, seed, id_col, text_col), "quality-keys")
     if k is None:
-        k = rows.where("log_weight >= 0").count()
-    # the keys' order as that of integers: a double's bits, those below the sign turned over for negatives
+        k = rows.where(F.col("log_weight") >= -tolerance * F.col("n_grams")).count()
     micros = F.round(F.col("key") * 1e6).cast("long")
     least = kth_largest(rows.select(micros.alias("key")), k)
     return rows.withColumn("kept", F.lit(False) if least is None else micros >= least)
