@@ -1,14 +1,639 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the code-graph operators, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairn import oracles as o
+from cairn.functions import denylist, paths, text
+from cairn.operators import kernel, mutation, panel, scope, stats
+from cairn.plans import ir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def register(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def facts(spark: SparkSession, sf_dir: str, *columns: str, keys: tuple[str, ...] = ("fn",)) -> DataFrame:
+    return kernel.facts(ir.pack(ir.from_lines(spark, sf_dir), *keys), *columns)
+
+
+def pairs(df: DataFrame, column: str, name: str, node: str = "nid") -> DataFrame:
+    return df.select("fn", F.col("nid").alias(node), F.explode(column).alias(name))
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The panel's leading line of every function, with its tier."""
+    f = panel_facts(spark, sf_dir)
+    lines = panel.panel_score(panel.line_features(f, "fn", "file", "name"))
+    top = F.row_number().over(Window.partitionBy("fn").orderBy(F.desc("panel"), "line"))
+    return lines.withColumn("_r", top).where("_r = 1").select("fn", "file", "name", "line", "tier", "panel")
+
+
+def panel_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts(spark, sf_dir, "structural", "tier", "score", "schur", "pivot", "trophic", "strahler", keys=("fn", "file", "name"))
+
+
+# ---- the representation -------------------------------------------------------------------------------------------
+
+
+@register(o.q(o.IR, "select fn, file, name, nid, n, line, kind, callee, target, def_var, use_var from node"))
+def ir_nodes(spark, sf_dir):
+    return ir.from_lines(spark, sf_dir).select("fn", "file", "name", "nid", "n", "line", "kind", "callee", "target", F.col("defs")[0].alias("def_var"), F.col("uses")[0].alias("use_var"))
+
+
+@register(o.q(o.IR, "select fn, src::int as src, dst::int as dst from cfg"))
+def ir_edges(spark, sf_dir):
+    return ir.edges(ir.from_lines(spark, sf_dir))
+
+
+@register(o.q(o.IR, "select fn, dst::int as nid, list_sort(list(distinct src::int))::varchar as preds from cfg group by fn, dst"))
+def ir_preds(spark, sf_dir):
+    return ir.edges(ir.from_lines(spark, sf_dir)).groupBy("fn", F.col("dst").alias("nid")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set("src")), ", "), F.lit("]")).alias("preds"))
+
+
+@register(o.q(o.IR, "select kind, count(*) as nodes, count_if(kind in ('return', 'state_write', 'call')) as effects, count_if(kind in ('return', 'state_write')) as hard_effects, 0::bigint as inert, 0::bigint as structural from node group by kind"))
+def ir_effects(spark, sf_dir):
+    flags = ir.from_lines(spark, sf_dir).select("kind", ir.is_effect().alias("e"), ir.is_hard_effect().alias("h"), ir.is_inert().alias("i"), ir.is_structural().alias("s"))
+    return flags.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if("e").alias("effects"), F.count_if("h").alias("hard_effects"), F.count_if("i").alias("inert"), F.count_if("s").alias("structural"))
+
+
+@register(o.q(o.IR, "select fn, count(*) as instructions, count(line) as with_line, count(distinct line) as lines from node group by fn"))
+def ir_coverage(spark, sf_dir):
+    return ir.from_lines(spark, sf_dir).groupBy("fn").agg(F.count("*").alias("instructions"), F.count("line").alias("with_line"), F.countDistinct("line").alias("lines"))
+
+
+@register(o.q(o.IR, "select fn, file, name, 0::int as entry, 'out of range' as error from node where false"))
+def ir_validate(spark, sf_dir):
+    return ir.invalid(ir.pack(ir.from_lines(spark, sf_dir), "fn", "file", "name")).select("fn", "file", "name", "entry", "error")
+
+
+@register("select l_orderkey as fn, count(*) as n from lineitem group by 1 having count(*) > 6")
+def ir_oversized(spark, sf_dir):
+    return ir.oversized(ir.from_lines(spark, sf_dir), most=6)
+
+
+# ---- names and paths ----------------------------------------------------------------------------------------------
+
+
+@register(o.q(o.IR + o.DENY.split("\n, users as")[0], "select fn, nid, denylisted from deny"))
+def denylist_match(spark, sf_dir):
+    n = ir.from_lines(spark, sf_dir)
+    return n.select("fn", "nid", denylist.Denylist().column(F.col("callee")).alias("denylisted"))
+
+
+@register(o.q(o.IR, "select callee, regexp_extract(callee, '([^.:]*)$', 1) as segment, count(*) as calls from node where kind = 'call' group by all"))
+def callee_last_segment(spark, sf_dir):
+    calls = ir.from_lines(spark, sf_dir).where("kind = 'call'")
+    return calls.groupBy("callee", scope.last_segment(F.col("callee")).alias("segment")).agg(F.count("*").alias("calls"))
+
+
+_PATH = "concat(['src', 'tests', 'node_modules/x', '.hidden', 'benches', 'lib/__tests__'][l_partkey % 6 + 1], '/', ['test_m', 'm', 'm_test', 'm.spec', 'ATest'][l_suppkey % 5 + 1], l_orderkey, ['.py', '.ts', '.rs', '.java', '.kt', '_test.go', '.class', '.txt', ''][l_orderkey % 9 + 1])"
+
+
+def _paths(spark, sf_dir):
+    def pick(options, at):
+        return F.element_at(F.array(*map(F.lit, options)), (at + 1).cast("int"))
+
+    dirs = pick(("src", "tests", "node_modules/x", ".hidden", "benches", "lib/__tests__"), F.col("l_partkey") % 6)
+    stem = pick(("test_m", "m", "m_test", "m.spec", "ATest"), F.col("l_suppkey") % 5)
+    end = pick((".py", ".ts", ".rs", ".java", ".kt", "_test.go", ".class", ".txt", ""), F.col("l_orderkey") % 9)
+    return read(spark, sf_dir, "lineitem").select(F.concat(dirs, F.lit("/"), stem, F.col("l_orderkey").cast("string"), end).alias("path")).distinct()
+
+
+@register(f"""
+with p as (select distinct {_PATH} as path from lineitem), e as (select path, regexp_extract(path, '[^/.][^/]*\\.([^./]+)$', 1) as ext from p)
+select path, case when ext = 'py' then 'python' when ext = 'ts' then 'javascript' when ext = 'rs' then 'rust' when ext = 'java' then 'java' when ext = 'kt' then 'kotlin' when ext = 'go' then 'go' end as language,
+       case when ext = 'py' then 'python' when ext = 'ts' then 'js' when ext = 'rs' then 'rust' when ext in ('java', 'kt') then 'jvm source' when ext = 'go' then 'go' when ext = 'class' then 'class' end as kind
+from e""")
+def ext_classify(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", paths.language(F.col("path")).alias("language"), paths.input_kind(F.col("path")).alias("kind"))
+
+
+@register(f"""
+with p as (select distinct {_PATH} as path from lineitem), e as (select path, regexp_extract(path, '[^/.][^/]*\\.([^./]+)$', 1) as ext, regexp_extract(path, '[^/]*$') as name from p)
+select path, coalesce(case when ext in ('py', 'ts', 'rs', 'java', 'kt', 'go') and path like 'tests/%' then true
+         when ext = 'py' then name like 'test\\_%' escape '\\' or name like '%\\_test.py' escape '\\' when ext = 'ts' then path like '%\\_\\_tests\\_\\_/%' escape '\\' or regexp_matches(name, '\\.(test|spec)\\.ts$')
+         when ext = 'rs' then path like 'benches/%' when ext = 'java' then name like '%Test.java' when ext = 'kt' then name like '%Test.kt' when ext = 'go' then name like '%\\_test.go' escape '\\' end, false) as is_test,
+       path like 'node\\_modules/%' escape '\\' or path like '.hidden/%' as is_skipped
+from e""")
+def test_path_filter(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", paths.is_test(F.col("path")).alias("is_test"), paths.is_skipped(F.col("path")).alias("is_skipped"))
+
+
+@register(f"""
+with p as (select distinct {_PATH} as path from lineitem)
+select path, replace(replace(replace(path || ' é?', ' ', '%20'), 'é', '%C3%A9'), '?', '%3F') as uri from p""")
+def relative_uri(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", text.relative_uri(F.concat("path", F.lit(" é?"))).alias("uri"))
+
+
+# ---- graph facts --------------------------------------------------------------------------------------------------
+
+
+@register(o.q(o.IR + o.CUT, "select fn, a::int as dominator, b::int as nid from dom"))
+def dominators(spark, sf_dir):
+    return pairs(facts(spark, sf_dir, "dominators"), "dominators", "dominator")
+
+
+@register(o.q(o.IR + o.CUT, """
+, strict as (select d.fn, d.a, d.b, k from dom d join (select fn, b, count(*) as k from dom group by all) c on c.fn = d.fn and c.b = d.a where d.a <> d.b)
+select fn, b::int as nid, arg_max(a, k)::int as idom from strict group by fn, b""".strip()))
+def idom(spark, sf_dir):
+    return facts(spark, sf_dir, "idom").where("idom is not null").select("fn", "nid", "idom")
+
+
+@register(o.q(o.IR + o.RCUT, "select fn, a::int as post_dominator, b::int as nid from pdom"))
+def post_dominators(spark, sf_dir):
+    return pairs(facts(spark, sf_dir, "post_dominators"), "post_dominators", "post_dominator")
+
+
+@register(o.q(o.IR + o.RCUT, "select fn, nid::int as nid, branch::int as branch from ctrl"))
+def control_deps(spark, sf_dir):
+    return pairs(facts(spark, sf_dir, "ctrl_deps"), "ctrl_deps", "branch")
+
+
+@register(o.q(o.IR + o.RCUT, "select fn, branch::int as nid, count_if(c.nid <> branch)::int as governed, round(count_if(c.nid <> branch) / any_value(n)::double, 6) as control_weight from ctrl c join (select distinct fn, n from node) using (fn) group by fn, branch having count_if(c.nid <> branch) > 0"))
+def control_weight(spark, sf_dir):
+    return facts(spark, sf_dir, "governed", "control_weight").where("governed > 0").select("fn", "nid", "governed", r6("control_weight").alias("control_weight"))
+
+
+@register(o.q(o.IR + o.CUT + o.LOOPS, "select fn, h::int as header, x::int as nid from loop_body"))
+def natural_loops(spark, sf_dir):
+    return pairs(facts(spark, sf_dir, "loops"), "loops", "header")
+
+
+@register(o.q(o.IR + o.CUT + o.LOOPS, "select fn, x::int as nid, count(distinct h)::int as loop_depth from loop_body group by fn, x"))
+def loop_depth(spark, sf_dir):
+    return facts(spark, sf_dir, "loop_depth").where("loop_depth > 0").select("fn", "nid", "loop_depth")
+
+
+@register(o.q(o.IR + o.CUT + o.LOOPS + o.RD, "select distinct l.fn, l.x::int as nid from loop_body l join rd r on r.fn = l.fn and r.def = l.x and r.at = l.h"))
+def loop_carried(spark, sf_dir):
+    return facts(spark, sf_dir, "loop_carried").where("loop_carried").select("fn", "nid")
+
+
+@register(o.q(o.IR + o.RD, "select fn, rd.at::int as nid, rd.def::int as def_node, var from rd"))
+def reaching_defs(spark, sf_dir):
+    f = facts(spark, sf_dir, "reaching_nodes", "reaching_vars")
+    return f.select("fn", "nid", F.explode(F.arrays_zip("reaching_nodes", "reaching_vars")).alias("d")).select("fn", "nid", F.col("d.reaching_nodes").alias("def_node"), F.col("d.reaching_vars").alias("var"))
+
+
+@register(o.q(o.IR + o.RD, "select fn, src::int as def_node, dst::int as nid from data"))
+def def_use(spark, sf_dir):
+    return pairs(facts(spark, sf_dir, "data_preds"), "data_preds", "def_node")
+
+
+@register(o.q(o.GRAPH, "select fn, src::int as src, dst::int as dst from dep"))
+def dep_edges(spark, sf_dir):
+    return pairs(facts(spark, sf_dir, "dep_succs"), "dep_succs", "dst", "src")
+
+
+@register(o.q(o.GRAPH, "select n.fn, n.nid, coalesce(i.k, 0)::int as influence, coalesce(d.k, 0)::int as depends_on, round(case when n.n > 1 then coalesce(i.k, 0)::double / (n.n - 1) else 0.0 end, 6) as fraction from node n left join infl i using (fn, nid) left join depn d using (fn, nid)"))
+def influence(spark, sf_dir):
+    f = facts(spark, sf_dir, "influence", "depends_on", "influence_fraction")
+    return f.select("fn", "nid", "influence", "depends_on", r6("influence_fraction").alias("fraction"))
+
+
+@register(o.q(o.GRAPH, "select n.fn, n.nid, least(n.nid, coalesce(min(a.dst), n.nid))::int as scc from node n left join (select x.fn, x.src, x.dst from reach x join reach y on y.fn = x.fn and y.src = x.dst and y.dst = x.src) a on a.fn = n.fn and a.src = n.nid group by n.fn, n.nid"))
+def scc(spark, sf_dir):
+    return facts(spark, sf_dir, "scc").select("fn", "nid", "scc")
+
+
+# ---- tiers --------------------------------------------------------------------------------------------------------
+
+
+@register(o.q(o.GRAPH + o.DENY, "select n.fn, n.nid, exists (select 1 from useful u where u.fn = n.fn and u.nid = n.nid) as useful, exists (select 1 from feeds f where f.fn = n.fn and f.nid = n.nid) as feeds_denylist, inert from node n join inert using (fn, nid)"))
+def inert(spark, sf_dir):
+    return facts(spark, sf_dir, "useful", "feeds_denylist", "inert").select("fn", "nid", "useful", "feeds_denylist", "inert")
+
+
+@register(o.q(o.GRAPH + o.DENY + o.DIST, "select fn, nid, distance::int as distance from dist"))
+def effect_distance(spark, sf_dir):
+    return facts(spark, sf_dir, "distance").where("distance is not null").select("fn", "nid", "distance")
+
+
+@register(o.q(o.ALL, "select fn, nid, tier::int as tier, round(score, 6) as score from scored"))
+def tier_score(spark, sf_dir):
+    return facts(spark, sf_dir, "tier", "score").select("fn", "nid", "tier", r6("score").alias("score"))
+
+
+@register()
+def reasons(spark, sf_dir):
+    return facts(spark, sf_dir, "reasons").select("fn", "nid", F.explode("reasons").alias("r")).select("fn", "nid", "r.tier", "r.text")
+
+
+# ---- instruments --------------------------------------------------------------------------------------------------
+
+
+@register(o.q(o.GRAPH, ", weighed as (select fn, src, dst, 1.0 as w from data union all select fn, branch, nid, 0.6 from ctrl)\nselect fn, src::int as src, dst::int as dst, round(sum(w), 6)::double as weight from weighed group by fn, src, dst"))
+def schur_raw_edges(spark, sf_dir):
+    f = facts(spark, sf_dir, "edge_to", "edge_weight")
+    return f.select("fn", F.col("nid").alias("src"), F.explode(F.arrays_zip("edge_to", "edge_weight")).alias("e")).select("fn", "src", F.col("e.edge_to").alias("dst"), r6("e.edge_weight").alias("weight"))
+
+
+@register(o.q(o.GRAPH, """
+, comp as (select n.fn, n.nid, least(n.nid, coalesce(min(a.dst), n.nid)) as c from node n left join (select x.fn, x.src, x.dst from reach x join reach y on y.fn = x.fn and y.src = x.dst and y.dst = x.src) a on a.fn = n.fn and a.src = n.nid group by n.fn, n.nid)
+, fed as (select distinct b.fn, b.c from dep d join comp a on a.fn = d.fn and a.nid = d.src join comp b on b.fn = d.fn and b.nid = d.dst where a.c <> b.c)
+select fn, nid from comp where not exists (select 1 from fed where fed.fn = comp.fn and fed.c = comp.c)""".strip()))
+def pivot_entry_set(spark, sf_dir):
+    return facts(spark, sf_dir, "entry").where("entry").select("fn", "nid")
+
+
+@register("select l_orderkey as fn, round(1 - exp(sum(ln(1 - l_discount))) + 1e-10, 6) as p from lineitem group by 1")
+def noisy_or(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fn")).agg(r6(-F.expm1(F.sum(F.log1p(-F.col("l_discount")))) + 1e-10).alias("p"))
+
+
+@register()
+def instruments(spark, sf_dir):
+    return facts(spark, sf_dir, "schur", "birnbaum", "pivot", "trophic_level", "trophic", "strahler_order", "strahler")
+
+
+# ---- panel, lines and spans ---------------------------------------------------------------------------------------
+
+
+@register("select l_orderkey as fn, l_linenumber as line, l_partkey, l_suppkey, l_extendedprice, round(" + o.rank01("l_extendedprice", "l_orderkey") + ", 6) as rank from lineitem")
+def rank01(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", "l_extendedprice", r6(panel.rank01(F.col("l_extendedprice"), "l_orderkey")).alias("rank"))
+
+
+@register(o.q(o.ALL + o.LINE, "select fn, line, tier::int as tier, score from lined"))
+def line_tier(spark, sf_dir):
+    lines = panel.scored_lines(facts(spark, sf_dir, "structural", "tier", "score"))
+    return lines.select("fn", "line", "tier", r6("score").alias("score"))
+
+
+@register()
+def line_features(spark, sf_dir):
+    return panel.line_features(panel_facts(spark, sf_dir), "fn")
+
+
+@register()
+def panel_score(spark, sf_dir):
+    f = panel.line_features(panel_facts(spark, sf_dir), "fn", "file")
+    profile = F.when(F.col("fn") % 2 == 0, "instruction").otherwise("statement")
+    return panel.panel_score(f, profile).select("fn", "line", r6("panel").alias("panel"))
+
+
+def _flat_lines(spark, sf_dir):
+    src = read(spark, sf_dir, "lineitem")
+    return src.groupBy(F.col("l_suppkey").alias("fn"), (F.col("l_partkey") % 64).cast("int").alias("line")).agg((F.max(F.col("l_orderkey")) % 2).cast("int").alias("tier"), (F.max(F.col("l_linenumber")) / 2).cast("int").cast("double").alias("score"))
+
+
+_FLAT = """
+flat as (select l_suppkey as fn, (l_partkey % 64)::int as line, (max(l_orderkey) % 2)::int as tier, (max(l_linenumber) // 2)::double as score from lineitem group by 1, 2
+), marked as (select *, case when lag(line) over w + 1 = line and lag(tier) over w = tier and lag(score) over w = score then 0 else 1 end as fresh from flat window w as (partition by fn order by line)
+), island as (select *, sum(fresh) over (partition by fn order by line) as k from marked
+), span as (select fn, min(line)::int as "start", max(line)::int as "end", any_value(tier) as tier, any_value(score) as score from island group by fn, k
+), ranked as (select *, (rank() over (partition by fn order by score) - 1)::double / greatest(1, count(*) over (partition by fn) - 1) as r from span)"""
+
+
+@register(o.q(_FLAT, 'select fn, "start", "end", tier, score, round(r, 6) as rank from ranked'))
+def spans(spark, sf_dir):
+    return panel.spans(_flat_lines(spark, sf_dir)).withColumn("rank", r6("rank"))
+
+
+@register(o.q(_FLAT, ', p as (select distinct l_suppkey as fn, (l_orderkey % 80)::int as line from lineitem)\nselect p.fn, p.line, max(s.tier) as tier from p left join span s on s.fn = p.fn and p.line between s."start" and s."end" group by all'))
+def tier_at(spark, sf_dir):
+    points = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("fn"), (F.col("l_orderkey") % 80).cast("int").alias("line")).distinct()
+    return panel.stabbed(panel.spans(_flat_lines(spark, sf_dir)), points)
+
+
+@register(o.q(_FLAT, ', s as (select l_suppkey as fn, (l_orderkey % 80)::int as line, max(l_quantity) as v from lineitem group by 1, 2)\nselect a.fn, a."start", a."end", a.tier, a.score, max(s.v) as file_score from span a left join s on s.fn = a.fn and s.line between a."start" and a."end" group by all'))
+def apply_scope(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("fn"), (F.col("l_orderkey") % 80).cast("int").alias("line")).agg(F.max("l_quantity").alias("score"))
+    return panel.apply_scope(panel.spans(_flat_lines(spark, sf_dir)).drop("rank"), s, "fn")
+
+
+# ---- call graph and scope -----------------------------------------------------------------------------------------
+
+
+def _functions(nodes: DataFrame) -> DataFrame:
+    return nodes.select("fn", "file", "name").distinct()
+
+
+@register(o.q(o.IR + o.CALLS, "select fn, callee, callee_fn, rung from resolved"))
+def resolve_callee(spark, sf_dir):
+    n = ir.from_lines(spark, sf_dir)
+    calls = n.where("kind = 'call'").select("fn", "file", "callee").distinct()
+    return scope.resolved(calls, _functions(n)).select("fn", "callee", "callee_fn", "rung")
+
+
+@register(o.q(o.IR + o.CALLS, "select distinct fn, callee_fn from resolved where callee_fn is not null"))
+def call_edges(spark, sf_dir):
+    n = ir.from_lines(spark, sf_dir)
+    return scope.call_edges(n, _functions(n))
+
+
+@register(o.q(o.IR + o.CALLS, "select s.fn, count(distinct r.fn) as fan_in from (select distinct fn from seg) s left join resolved r on r.callee_fn = s.fn and r.fn <> s.fn group by s.fn"))
+def fan_in(spark, sf_dir):
+    n = ir.from_lines(spark, sf_dir)
+    f = _functions(n)
+    return scope.fan_in(scope.call_edges(n, f), f)
+
+
+@register(o.q(o.IR + o.CALLS, """
+, forward as (select distinct fn as s, callee_fn as d from resolved where callee_fn > fn
+), chain as (select fn as v, 0 as k from seg union select f.s, c.k + 1 from chain c join forward f on f.d = c.v where c.k < 500)
+select v as fn, (1.0 + max(k))::double as depth from chain group by v""".strip()))
+def call_depth(spark, sf_dir):
+    n = ir.from_lines(spark, sf_dir)
+    f = _functions(n)
+    return scope.call_depth(scope.call_edges(n, f).where("callee_fn > fn"), f)
+
+
+@register(o.q(o.ALL + o.LINE, "select fn, count(*) as size, round(avg(case when tier = 2 then 1.0 else 0.0 end), 6) as boundary_density from lined group by fn"))
+def boundary_density(spark, sf_dir):
+    f = facts(spark, sf_dir, "structural", "tier", keys=("fn", "file", "name"))
+    lines = panel.scored_lines(f, "fn", scores=())
+    return scope.boundary_density(lines, _functions(f)).select("fn", F.col("size").cast("long").alias("size"), r6("boundary_density").alias("boundary_density"))
+
+
+@register("""
+with l as (select distinct (l_orderkey // 37) as file, l_orderkey as fn, (l_partkey % 30)::int as line from lineitem
+), w as (select *, max(line) over (partition by fn) - min(line) over (partition by fn) as width from l)
+select concat('file', file) as file, line, arg_min(fn, (width, fn)) as fn from w group by file, line""")
+def line_owner(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("file"), F.floor(F.col("l_orderkey") / 37).cast("string")).alias("file"), F.col("l_orderkey").alias("fn"), (F.col("l_partkey") % 30).cast("int").alias("line")).distinct()
+    return scope.line_owners(lines)
+
+
+def _scope(spark, sf_dir, *by):
+    nodes = ir.from_lines(spark, sf_dir)
+    lines = panel.scored_lines(facts(spark, sf_dir, "structural", "tier", "score", keys=("fn", "file", "name")), "fn", "file")
+    features = scope.function_features(nodes, lines, _functions(nodes), *by)
+    return scope.blended(lines, features, *by)
+
+
+@register()
+def file_score(spark, sf_dir):
+    return _scope(spark, sf_dir, "file")
+
+
+@register()
+def repo_score(spark, sf_dir):
+    return _scope(spark, sf_dir)
+
+
+# ---- reports ------------------------------------------------------------------------------------------------------
+
+
+@register(o.q(o.ALL + o.LINE, "select fn, count_if(tier = 3) as core, count_if(tier = 2) as boundary, count_if(tier = 1) as plumbing, count_if(tier = 0) as inert from lined group by fn"))
+def sidecar_summary(spark, sf_dir):
+    lines = panel.scored_lines(facts(spark, sf_dir, "structural", "tier"), scores=())
+    return lines.groupBy("fn").agg(*(F.count_if(F.col("tier") == t).alias(n) for t, n in ((3, "core"), (2, "boundary"), (1, "plumbing"), (0, "inert"))))
+
+
+@register(o.q(o.ALL, "select tier::int as tier, count(*) as nodes, round(count(*)::double / sum(count(*)) over (), 6) as share, round(avg(score), 5) as mean_score from scored group by tier"))
+def stats_histogram(spark, sf_dir):
+    t = facts(spark, sf_dir, "tier", "score").groupBy("tier").agg(F.count("*").alias("nodes"), F.round(F.avg("score"), 5).alias("mean_score"))
+    return t.withColumn("share", r6(F.col("nodes") / F.sum("nodes").over(Window.partitionBy(F.lit(0))))).select("tier", "nodes", "share", "mean_score")
+
+
+@register("select l_orderkey, l_linenumber, l_partkey, floor(l_discount * 7 * 100 + 0.5) / 100 as r from lineitem")
+def round_two(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.round2(F.col("l_discount") * 7).alias("r"))
+
+
+@register(r"select doc_id, case when len(string_split(text, chr(10))) >= 2 then array_to_string(list_transform(string_split(text, chr(10))[2:least(4, len(string_split(text, chr(10))))], lambda s : regexp_replace(s, '\s+$', '')), chr(10)) end as span from documents")
+def span_text(spark, sf_dir):
+    n = F.size(F.split("text", "\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.span_text(F.col("text"), F.lit(2), F.least(F.lit(4), n)).alias("span"))
+
+
+# ---- mutation -----------------------------------------------------------------------------------------------------
+
+
+@register(r"select page_id, len(regexp_extract_all(html, '&&|\|\||<=|!=')) as sites from pages")
+def mutation_operators(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"&&|\|\||<=|!=")).cast("long").alias("sites"))
+
+
+@register()
+def mutation_sites(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("source"))
+    return mutation.sites(pages, "java").select("path", "line", "start", "end", "kind", "detail")
+
+
+@register("select event_id, ts, user_id from events order by user_id, ts, event_id limit 150")
+def mutant_budget(spark, sf_dir):
+    return stats.within_budget(read(spark, sf_dir, "events").select("event_id", "ts", "user_id"), 150, "user_id", "ts", "event_id")
+
+
+@register("select doc_id, left(text, 5) || 'XX' || repeat(chr(10), len(substr(text, 6, 40)) - len(replace(substr(text, 6, 40), chr(10), ''))) || substr(text, 46) as spliced from documents")
+def splice(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.splice(F.col("text"), F.lit(5), F.lit(45), F.lit("XX")).alias("spliced"))
+
+
+# ---- calibration and statistics -----------------------------------------------------------------------------------
+
+
+_OUTCOME = "case event_type when 'error' then 'killed' when 'purchase' then 'timeout' when 'login' then 'invalid' else 'survived' end"
+_TALLY = f"tally as (select concat('u', user_id) as file, (event_id % 40)::int as line, count_if(outcome in ('killed', 'timeout')) as killed, count(*) as mutants from (select *, {_OUTCOME} as outcome from events) where outcome <> 'invalid' group by all)"
+
+
+def _tally(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    outcome = F.when(F.col("event_type") == "error", "killed").when(F.col("event_type") == "purchase", "timeout").when(F.col("event_type") == "login", "invalid").otherwise("survived")
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") % 40).cast("int").alias("line"), outcome.alias("outcome"))
+    return stats.kill_tally(rows, "file", "line")
+
+
+@register(f"with {_TALLY} select * from tally")
+def kill_tally(spark, sf_dir):
+    return _tally(spark, sf_dir)
+
+
+_EXTENTS = "f as (select distinct concat('u', user_id) as file, k as fn, (k * 7)::int as lo, (k * 7 + 14 - k)::int as hi from events, range(0, 5) r(k))"
+
+
+def _extents(spark, sf_dir):
+    k = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    files = read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file")).distinct().withColumn("k", k)
+    return files.select("file", F.col("k").cast("long").alias("fn"), (F.col("k") * 7).alias("lo"), (F.col("k") * 7 + 14 - F.col("k")).alias("hi"))
+
+
+_PAIRED = f"{_TALLY}, {_EXTENTS}, paired as (select t.*, arg_min(fn, (hi - lo, fn)) as fn, killed / mutants::double as kill_rate, arg_min(1.0 - (t.line - lo)::double / (hi - lo), (hi - lo, fn)) as null_score from tally t join f on f.file = t.file and t.line between lo and hi group by all)"
+
+
+@register(f"with {_PAIRED} select file, line, killed, mutants, fn, round(kill_rate, 6) as kill_rate, round(null_score, 6) as null_score from paired")
+def pair_lines(spark, sf_dir):
+    p = stats.pair_lines(_tally(spark, sf_dir), _extents(spark, sf_dir))
+    return p.withColumn("kill_rate", r6("kill_rate")).withColumn("null_score", r6("null_score"))
+
+
+def _rho_sql(source: str, a: str, b: str, by: str, least: int) -> str:
+    part = by or "1"
+    head = f"{by}, " if by else ""
+    return f"(select {head}count(*) as n, {o.RHO.format(least=least)} as rho from (select {head}{o.average_rank(a, part)} as ra, {o.average_rank(b, part)} as rb from {source}) {'group by ' + by if by else ''})"
+
+
+@register(f"with {_PAIRED} select file, fn, n, round(rho, 6) as rho from {_rho_sql('paired', 'null_score', 'kill_rate', 'file, fn', 2)} where n >= 4")
+def spearman_by_fn(spark, sf_dir):
+    p = stats.pair_lines(_tally(spark, sf_dir), _extents(spark, sf_dir))
+    return stats.spearman(p, "null_score", "kill_rate", "file", "fn").where("n >= 4").withColumn("rho", r6("rho"))
+
+
+@register(f"""with {_PAIRED}, x as (select *, (line % 9)::double as panel from paired), a as {_rho_sql('x', 'panel', 'kill_rate', '', 2)}, b as {_rho_sql('x', 'null_score', 'kill_rate', '', 2)}
+, m as (select sum(mutants) as mutants from tally), v as (select a.n as lines, mutants::bigint as mutants, round(a.rho, 6) as rho, round(b.rho, 6) as null_rho from a, b, m)
+, w as (select *, case when lines < 20 or mutants < 30 then 'insufficient data' when rho - null_rho >= 0.1 and rho >= 0.3 then 'calibrated' when rho > null_rho then 'marginal' else 'uncalibrated' end as verdict from v)
+select *, case verdict when 'insufficient data' then 2 when 'uncalibrated' then 3 else 0 end as gate from w""")
+def verdict(spark, sf_dir):
+    tally = _tally(spark, sf_dir)
+    p = stats.pair_lines(tally, _extents(spark, sf_dir)).withColumn("panel", (F.col("line") % 9).cast("double"))
+    a, b = stats.spearman(p, "panel", "kill_rate"), stats.spearman(p, "null_score", "kill_rate")
+    one = a.join(b.select(F.col("rho").alias("null_rho")), F.lit(True)).join(tally.agg(F.sum("mutants").alias("mutants")), F.lit(True))
+    one = one.select(F.col("n").alias("lines"), "mutants", r6("rho").alias("rho"), r6("null_rho").alias("null_rho"))
+    one = one.withColumn("verdict", stats.verdict(F.col("rho"), F.col("null_rho"), F.col("lines"), F.col("mutants")))
+    return one.withColumn("gate", stats.gate_code(F.col("verdict")))
+
+
+@register("select concat('o', l_orderkey) as file, l_orderkey as fn, count(*) as lines from lineitem group by all order by lines desc, file, fn limit 30")
+def topk_sample(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_orderkey").alias("fn")).agg(F.count("*").alias("lines"))
+    return t.orderBy(F.desc("lines"), "file", "fn").limit(30)
+
+
+@register(f"""with r as {_rho_sql('lineitem', 'l_quantity', 'l_extendedprice', 'l_suppkey', 3)}
+select l_suppkey, n, round(rho, 6) as rho, case when n >= 5 and abs(rho) < 1 then round(tanh(atanh(case when abs(rho) < 1 then rho else 0 end) - 1.96 / sqrt(greatest(n - 3, 1))), 6) end as low,
+       case when n >= 5 and abs(rho) < 1 then round(tanh(atanh(case when abs(rho) < 1 then rho else 0 end) + 1.96 / sqrt(greatest(n - 3, 1))), 6) end as high from r""")
+def fisher_ci(spark, sf_dir):
+    r = stats.spearman(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_suppkey", least=3)
+    low, high = stats.fisher_interval(F.col("rho"), F.col("n"))
+    return r.select("l_suppkey", "n", r6("rho").alias("rho"), r6(low).alias("low"), r6(high).alias("high"))
+
+
+@register("""with d as (select lang, len(text) as score, toxic from documents join labels using (doc_id))
+, c as (select lang, score, count(*) filter (toxic = 1) as p, count(*) filter (toxic = 0) as q from d group by all)
+, k as (select *, coalesce(sum(q) over (partition by lang order by score rows between unbounded preceding and 1 preceding), 0) as below from c)
+select lang, (sum(p) * sum(q))::bigint as pairs, round(sum(p * (below + q / 2.0)) / (sum(p) * sum(q)), 6)::double as auc from k group by lang having sum(p) * sum(q) > 0""")
+def auc(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("lang", F.length("text").alias("score"), "toxic")
+    return stats.auc(d, "score", "toxic", "lang").withColumn("auc", r6("auc"))
+
+
+@register("""with t as (select l_suppkey as k, round(avg(l_discount), 6) / 3 as p from lineitem group by 1)
+, s as (select *, (count(*) over () - row_number() over (order by p, k) + 1) * p as step from t)
+select k, round(p, 6) as p, round(least(1.0, max(step) over (order by p, k rows unbounded preceding)), 6) as holm from s""")
+def holm(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg((F.round(F.avg("l_discount"), 6) / 3).alias("p"))
+    return stats.holm(t, "p", "k").select("k", r6("p").alias("p"), r6("holm").alias("holm"))
+
+
+@register("""with s as (select l_suppkey, list_sort(list(l_extendedprice)) as v from lineitem group by 1)
+select l_suppkey, v[greatest(0, floor(len(v) * 0.1)::int - 1) + 1] as p10, v[greatest(0, floor(len(v) * 0.9)::int - 1) + 1] as p90, v[floor((len(v) - 1) * 0.5)::int + 1] as p50 from s""")
+def quantiles(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list("l_extendedprice")).alias("v"))
+    return s.select("l_suppkey", stats.index_quantile(F.col("v"), 0.1).alias("p10"), stats.index_quantile(F.col("v"), 0.9).alias("p90"), stats.corpus_percentile(F.col("v"), 0.5).alias("p50"))
+
+
+@register("with n as (select l_orderkey % 1500 as fn, count(*) as n from lineitem group by 1) select case when n <= 10 then '1-10' when n <= 50 then '11-50' when n <= 200 then '51-200' when n <= 1000 then '201-1000' else '>1000' end as bucket, count(*) as functions, sum(n)::bigint as instructions from n group by 1")
+def size_buckets(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 1500).alias("fn")).agg(F.count("*").alias("n"))
+    return n.groupBy(stats.size_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("functions"), F.sum("n").alias("instructions"))
+
+
+@register("select l_suppkey, count(distinct round(l_discount, 6)) as \"distinct\", round(max(l_discount) - min(l_discount), 6) as spread from lineitem group by 1")
+def resolution_stats(spark, sf_dir):
+    return stats.resolution(read(spark, sf_dir, "lineitem"), "l_discount", "l_suppkey").withColumn("spread", r6("spread"))
+
+
+_LINE_ID = "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber"
+
+
+def _numbered(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).groupBy("l_suppkey", "id").agg(F.max("l_quantity").alias("a"), F.max("l_extendedprice").alias("b"))
+
+
+_NUMBERED = f"n as (select l_suppkey, {_LINE_ID} as id, max(l_quantity) as a, max(l_extendedprice) as b from lineitem group by all)"
+
+
+def _ordinal(x: str) -> str:
+    return f"(row_number() over (partition by l_suppkey order by {x}, id) - 1)::double / greatest(count(*) over (partition by l_suppkey) - 1, 1)"
+
+
+@register(f"with {_NUMBERED} select l_suppkey, id, round({_ordinal('a')}, 6) as rank from n")
+def pooled_ordinal_ranks(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("l_suppkey", "id", r6(stats.ordinal_rank(F.col("a"), F.col("id"), "l_suppkey")).alias("rank"))
+
+
+@register(f"with {_NUMBERED}, d as (select l_suppkey, id, {_ordinal('a')} - {_ordinal('b')} as distance from n) select l_suppkey, id, round(distance, 6) as distance from d order by abs(distance) desc, d.distance desc, l_suppkey desc, id desc limit 8")
+def worst_disagreements(spark, sf_dir):
+    return stats.disagreements(_numbered(spark, sf_dir), "a", "b", "id", "l_suppkey").withColumn("distance", r6("distance"))
+
+
+_TERMS = {"quantity": "l_quantity / 50", "discount": "l_discount * 10", "tax": "l_tax * 12"}
+
+
+@register("""with t as (select l_suppkey, [{'d': l_quantity / 50 - avg(l_quantity / 50) over w, 'n': 'quantity'}, {'d': l_discount * 10 - avg(l_discount * 10) over w, 'n': 'discount'}, {'d': l_tax * 12 - avg(l_tax * 12) over w, 'n': 'tax'}] as ds from lineitem window w as (partition by l_suppkey))
+, b as (select l_suppkey, list_max(ds) as m from t) select l_suppkey, case when m.d > 0.005 then m.n end as lead, count(*) as lines from b group by all""")
+def lead_instrument(spark, sf_dir):
+    t = stats.lead_feature(read(spark, sf_dir, "lineitem"), {n: F.expr(x) for n, x in _TERMS.items()}, "l_suppkey")
+    return t.groupBy("l_suppkey", "lead").agg(F.count("*").alias("lines"))
+
+
+_X7 = ", ".join(f"embedding[{i + 1}]::double as x{i}" for i in range(7))
+
+
+@register(f"with e as (select label, {_X7} from embeddings) " + " union all ".join(f"select count(*) as n, {i} as i, {j} as j, round(sum({'x%d' % i if i < 7 else 'label'} * {'x%d' % j if j < 7 else 'label'}), 4)::double as g from e" for i in range(8) for j in range(i, 8)))
+def ridge_gram(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return stats.gram(e, [F.col("embedding")[i].cast("double") for i in range(7)], F.col("label").cast("double")).select("n", "i", "j", F.round("g", 4).alias("g"))
+
+
+@register()
+def ridge_weights(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return stats.ridge_weights(stats.gram(e, [F.col("embedding")[i].cast("double") for i in range(7)], F.col("label").cast("double")), 0.1)
+
+
+@register()
+def logo_eval(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("project"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(7)), F.col("label").cast("double").alias("y"))
+    return stats.leave_one_out(e, [f"x{i}" for i in range(7)], "y", "project")
+
+
+@register("with r as (select l_suppkey, avg(l_tax) as a, avg(l_discount) as b from lineitem group by 1) select count(*) as groups, count_if(b > a) as better, round(avg(a), 6) as mean_old, round(avg(b), 6) as mean_new, 2 * count_if(b > a) > count(*) and avg(b) > avg(a) as adopt from r")
+def adoption(spark, sf_dir):
+    r = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_tax").alias("a"), F.avg("l_discount").alias("b"))
+    return stats.adopted(r, "a", "b").withColumn("mean_old", r6("mean_old")).withColumn("mean_new", r6("mean_new"))
+
+
+@register()
+def bootstrap(spark, sf_dir):
+    c = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("v"), F.count("*").alias("w"))
+    return stats.bootstrap(c, "v", "w", "l_suppkey", draws=200)
+
+
+@register("select user_id, round(avg(value), 5) as leverage, round(avg(case when event_type <> 'error' then value end), 5) as leverage_no_delete, count(*) as mutants, array_to_string(list_sort(list(distinct replace(event_type, 'error', 'delete'))), ',') as kinds from events group by user_id")
+def leverage(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.col("value").alias("divergence"), F.when(F.col("event_type") == "error", "delete").otherwise(F.col("event_type")).alias("kind"))
+    t = stats.leverage(e, "user_id")
+    return t.select("user_id", F.round("leverage", 5).alias("leverage"), F.round("leverage_no_delete", 5).alias("leverage_no_delete"), "mutants", F.array_join("kinds", ",").alias("kinds"))
+
+
+@register("select l_suppkey, l_linenumber as line, max(l_quantity) filter (l_returnflag = 'A') as a, max(l_quantity) filter (l_returnflag = 'N') as n, max(l_quantity) filter (l_returnflag = 'R') as r from lineitem group by all")
+def pivot_scorers(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("line"), F.lower("l_returnflag").alias("scorer"), F.col("l_quantity").alias("score"))
+    return stats.scorer_pivot(rows, ["a", "n", "r"], "l_suppkey", "line")
