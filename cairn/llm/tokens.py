@@ -11,6 +11,7 @@ ids, encoded once for a worker and kept, make up the text's ids:
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,11 @@ _KEPT: dict[str, "Encoder"] = {}
 REMEMBER = 600_000
 #: Pieces that go through one call together, and the control character that parts them.
 TOGETHER, MARK = 100, "\x01"
+#: Letters whose lower case and composed form are simple, and stops that no contraction begins with.
+LETTERS, STOPS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{430}-\x{45F}\x{400}-\x{42F}]", r"[!-&(-/:-@\x{5B}-\x{60}{-~]"
+#: The printable character that stands for each byte in the vocabularies; the mark stands for itself.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)} | {1: "\x01"}
 
 
 def encoder(path: str, kind: str) -> "Encoder":
@@ -36,6 +42,7 @@ class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         if kind not in ("word", "byte"):
             raise ValueError(f"kind is word or byte, not {kind!r}")
@@ -44,46 +51,97 @@ class Encoder:
         self.tok.encode_special_tokens = True
         *before, self.mark = self.tok.encode(f" {MARK}", add_special_tokens=False).ids
         self.mark_ids = 1 + len(before)
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(MARK)
+        self.plain = rf"^(?P<base>{' ' if kind == 'byte' else ''}{LETTERS}+)(?P<tail>{STOPS}*)$"
+        vocabulary = self.tok.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if kind == "word" else t.startswith("\u0120"))]] = True
         self._forget()
 
     def _forget(self) -> None:
+        """Starts afresh with the pieces that more than one lookup has asked for."""
+        kept = [x for x, i in self.at.items() if self.asked[i] > 1] if hasattr(self, "at") else []
+        ids = [self.ids[self.starts[i] : self.starts[i] + self.lens[i]] for i in map(self.at.get, kept)] if kept else []
+        if len(kept) > REMEMBER // 2:
+            kept, ids = [], []
         self.at: dict[str, int] = {}
+        self.asked = np.zeros(1 << 18, np.uint8)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 18, np.int64)
         self.lens = np.zeros(1 << 18, np.int64)
         self.used = 0
+        if kept:
+            self._store(kept, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
 
     def _learn(self, pieces: list[str]) -> None:
-        n = len(self.at)
-        while n + len(pieces) > len(self.starts):
-            self.starts, self.lens = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens))
         for i in range(0, len(pieces), 20_000):
             part = pieces[i : i + 20_000]
-            ids, lens = self._encode_pieces(part)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.lens[n : n + len(part)] = lens
-            self.starts[n : n + len(part)] = self.used + np.cumsum(lens) - lens
-            self.used += len(ids)
-            self.at.update(zip(part, range(n, n + len(part))))
-            n += len(part)
+            self._store(part, *self._encode_pieces(part))
+
+    def _store(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        n = len(self.at)
+        while n + len(pieces) > len(self.starts):
+            self.starts, self.lens, self.asked = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens, self.asked))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lens[n : n + len(pieces)] = lens
+        self.starts[n : n + len(pieces)] = self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
+        self.at.update(zip(pieces, range(n, n + len(pieces))))
 
     def _encode_pieces(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' ids on end, and how many each has.
 
-        Pieces are joined by a mark that none of them holds and that is an id of its own, as one
-        call for many pieces costs far less than many; unusual pieces are encoded one by one.
+        The tokenizer's own first step makes at most two of most pieces: a word of letters and what
+        stops follow it. Such words, each once, go to the model alone; the rest go the tokenizer's way.
         """
+        found = pc.extract_regex(pa.array(part, pa.string()), self.plain)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        found = found.drop_null()
+        words = pc.struct_field(found, "base")
+        words = (pc.utf8_lower(words) if self.kind == "word" else words).dictionary_encode()
+        stops = pc.struct_field(found, "tail").dictionary_encode()
+        segments = [self._encode_words(words.dictionary.to_pylist()), self._encode_each(stops.dictionary.to_pylist()), self._encode_marked([x for x, p in zip(part, plain) if not p])]
+        ids = np.concatenate([x for x, _ in segments])
+        lens = np.concatenate([x for _, x in segments])
+        ends = np.cumsum(lens)
+        n_words, n_stops, n_odd = (len(x) for _, x in segments)
+        which = np.full((len(part), 2), len(lens), np.int64)
+        which[plain, 0], which[plain, 1] = words.indices.to_numpy(), n_words + stops.indices.to_numpy()
+        which[~plain, 0] = n_words + n_stops + np.arange(n_odd)
+        lens, ends = np.append(lens, 0), np.append(ends, 0)
+        each = lens[which.ravel()]
+        jump = (ends - lens)[which.ravel()] - (np.cumsum(each) - each)
+        return ids[np.repeat(jump, each) + np.arange(each.sum())], each.reshape(-1, 2).sum(1)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Single words of letters (``byte``: after a space) by the model; their ends or beginnings show in the tokens."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = [MARK.join(words[i : i + TOGETHER]).encode().decode("latin-1").translate(_BYTES) for i in range(0, len(words), TOGETHER)]
+        flat = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        at = np.flatnonzero(self.edge[flat])
+        if len(at) != len(words):
+            raise RuntimeError("words and their tokens don't agree")
+        return flat, np.diff(np.append(-1, at)) if self.kind == "word" else np.diff(np.append(at, len(flat)))
+
+    def _encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+
+    def _encode_marked(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Other pieces, joined by a mark that none of them holds and whose ids are its own; unusual ones one by one."""
         word = self.kind == "word"
         plain = [MARK not in x and (word or (len(x) > 1 and x[0] in " \n" and not x[1].isspace() and not x[-1].isspace())) for x in part]
         glue = f" {MARK} " if word else f" {MARK}"
         some = [x for x, p in zip(part, plain) if p]
         groups = [some[i : i + TOGETHER] for i in range(0, len(some), TOGETHER)]
         ids = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast([glue.join(g) + glue for g in groups], add_special_tokens=False)]
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
         marks = np.flatnonzero(flat == self.mark)
-        lens = np.diff(np.concatenate([[-1], marks])) - self.mark_ids
+        lens = np.diff(np.append(-1, marks)) - self.mark_ids
         flat = np.delete(flat, (marks[:, None] - np.arange(self.mark_ids)).ravel())
         if len(some) == len(part):
             return flat, lens
@@ -92,16 +150,16 @@ class Encoder:
         out = [next(each) if p else np.array(next(odd).ids, dtype=np.uint32) for p in plain]
         return np.concatenate(out), np.array([len(x) for x in out], dtype=np.int64)
 
-    def _gather(self, distinct: list[str], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        get = self.at.get
-        where = np.fromiter((get(x, -1) for x in distinct), dtype=np.int64, count=len(distinct))
+    def _gather(self, distinct: list[str], codes: np.ndarray, offsets: np.ndarray, fresh: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        where = np.fromiter(map(self.at.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         new = np.flatnonzero(where < 0)
         if len(new):
-            if len(self.at) + len(new) > REMEMBER and self.at:
+            if len(self.at) + len(new) > REMEMBER and not fresh:
                 self._forget()
-                return self._gather(distinct, codes, offsets)
+                return self._gather(distinct, codes, offsets, fresh=True)
             where[new] = np.arange(len(self.at), len(self.at) + len(new))
             self._learn([distinct[i] for i in new])
+        self.asked[where] = np.minimum(self.asked[where], 254) + 1
         lens = self.lens[where][codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
@@ -113,7 +171,7 @@ class Encoder:
         """All ids in one array, and the rows' offsets into it. Null is as empty."""
         text = pc.fill_null(text, "")
         if self.kind == "word":
-            w = Words(text)
+            w = Words(pc.ascii_lower(text))
             return self._gather(w.distinct.to_pylist(), w.codes, w.offsets)
         whole = pc.match_substring_regex(text, r"[\s\x0b\x{85}\p{Z}]{2}").to_numpy(zero_copy_only=False)
         if not whole.any():
