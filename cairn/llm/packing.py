@@ -23,8 +23,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cairn.llm.common import ready, slices, text_of
 from cairn.llm.tokens import encoder
@@ -35,28 +36,36 @@ SHARD_IDS, QUERY_TERMS, NEIGHBOURS = 4_000_000, 24, 16
 K1, B = 1.2, 0.75
 
 
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, kind: str, end: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, ids, n), and at the end one row (null, documents by id, -1) of the task."""
+    """Rows (doc_id, ids, n, null), and at the end one row (null, null, -1, documents by id) of the task."""
     enc = encoder(path, kind)
     df = np.zeros(enc.tok.get_vocab_size() + 1, np.int64)
+    width = id_type(len(df))
     key, text = names
     for b in slices(batches, text):
         ids, ends = enc.encode(text_of(b.column(text)))
         n = b.num_rows
-        with_end = np.insert(ids, ends[1:], end).astype("<u4")
+        with_end = np.insert(ids.astype(width), ends[1:], end)
         ends = ends + np.arange(n + 1)
-        rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(ends))
-        pairs = np.unique(rows * len(df) + with_end)
-        df += np.bincount(pairs % len(df), minlength=len(df))
-        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * 4).astype("<i4")), pa.py_buffer(with_end)])
-        yield pa.RecordBatch.from_arrays([b.column(key).cast(pa.int64()), data, pa.array(np.diff(ends))], ["doc_id", "ids", "n"])
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([df.astype("<i8").tobytes()], pa.binary()), pa.array([-1], pa.int64())], ["doc_id", "ids", "n"])
+        for lo in range(0, n, 16_384):  # so many rows that a row and an id fit in 32 bits
+            hi = min(lo + 16_384, n)
+            some = np.sort(np.repeat(np.arange(hi - lo, dtype=np.uint32), np.diff(ends[lo : hi + 1])) * np.uint32(len(df)) + with_end[ends[lo] : ends[hi]])
+            new = np.ones(len(some), bool)
+            new[1:] = some[1:] != some[:-1]
+            df += np.bincount(some[new] % len(df), minlength=len(df))
+        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * width.itemsize).astype("<i4")), pa.py_buffer(with_end)])
+        yield pa.RecordBatch.from_arrays([b.column(key).cast(pa.int64()), data, pa.array(np.diff(ends)), pa.nulls(n, pa.binary())], ["doc_id", "ids", "n", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([-1], pa.int64()), pa.array([df.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "n", "df"])
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
-        for x in b.column("ids"):
+        for x in b.column("df"):
             v = np.frombuffer(x.as_buffer(), "<i8")
             total = v if total is None else total + v
     if total is not None:
@@ -119,7 +128,7 @@ def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, fil
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, window: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, window: int, shard_ids: int, width: np.dtype) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     base = (task.partitionId() if task else 0) << 40
     state = {"sequence": 0, "left": []}  # left: pieces (doc_id, start, ids, doc_tokens) of the window that isn't full
@@ -152,7 +161,8 @@ def _pack(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, windo
         if not out:
             return None
         key, start, take, ids, size, seq, offset = zip(*out)
-        data = pa.array([x.tobytes() for x in ids], pa.binary())
+        flat = np.concatenate(ids).astype("<u4")
+        data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(take)]).astype("<i4") * np.int32(4)), pa.py_buffer(flat)])
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x, pa.int64()) for x in (start, take)), data, *(pa.array(x, pa.int64()) for x in (size, seq, offset))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     keys: list = []
@@ -161,7 +171,7 @@ def _pack(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, windo
     for b in batches:
         for k, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
             keys.append(k)
-            docs.append(np.frombuffer(x.as_buffer(), "<u4"))
+            docs.append(np.frombuffer(x.as_buffer(), width))
             size += len(docs[-1])
             if size >= shard_ids:
                 if (r := shard(keys, docs, False)) is not None:
@@ -182,13 +192,14 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, wind
         raise ValueError(f"window is a power of two, not {window}")
     spark = docs.sparkSession
     ready(spark)
-    encoded = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(partial(_encode, path=tokenizer, kind=kind, end=end, names=(id_col, text_col)), "doc_id long, ids binary, n long")
+    encoded = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(partial(_encode, path=tokenizer, kind=kind, end=end, names=(id_col, text_col)), "doc_id long, ids binary, n long, df binary")
     ids = written(spark, encoded, "pack-ids")
     rows = ids.where("n >= 0").select("doc_id", "ids")
     total, tokens = ids.where("n >= 0").agg(F.count("*"), F.sum("n")).first()
-    counts = ids.where("n < 0").select("ids").mapInArrow(_document_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row an id of the vocabulary
+    counts = ids.where("n < 0").select("df").mapInArrow(_document_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row an id of the vocabulary
     df = np.zeros(max([r["id"] for r in counts], default=0) + 1)
     for r in counts:
         df[r["id"]] = r["n"]
+    width = id_type(Tokenizer.from_file(tokenizer).get_vocab_size() + 1)
     idf = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32)
-    return rows.mapInArrow(partial(_pack, idf=idf, mean=(tokens or 0) / max(total, 1), window=window, shard_ids=shard_ids), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(partial(_pack, idf=idf, mean=(tokens or 0) / max(total, 1), window=window, shard_ids=shard_ids, width=width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
