@@ -82,13 +82,13 @@ with d as (
   select source, source_size, [3.0, 1.0, 2.0][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int]::double as w,
          (2.0 * source_size)::double as cap
   from s0
-), s2 as (select *, cap / w as at from s1
+), s2 as (select *, cap / w as cap_ratio from s1
 ), s3 as (
   select *, coalesce(sum(cap) over o, 0.0) as before, sum(w) over () - coalesce(sum(w) over o, 0.0) as w_left,
          1.5 * sum(source_size) over () as budget
-  from s2 window o as (order by at, encode(source) nulls last rows between unbounded preceding and 1 preceding)
+  from s2 window o as (order by cap_ratio, encode(source) nulls last rows between unbounded preceding and 1 preceding)
 ), s4 as (select *, (budget - before) / w_left as level from s3
-), s5 as (select *, (select arg_min(level, at) from s4 where level <= at) as lv from s4
+), s5 as (select *, (select arg_min(level, cap_ratio) from s4 where level <= cap_ratio) as lv from s4
 ), s as (
   select source, source_size, least(cap, coalesce(lv * w, cap))::double as target,
          case when source_size > 0 then floor(least(cap, coalesce(lv * w, cap)) / source_size) else 0 end::bigint as whole
