@@ -127,12 +127,12 @@ def lead_feature(rows: DataFrame, terms: dict[str, Column], *by: str, least: flo
 
 
 def gram(rows: DataFrame, features: list[Column], target: Column, *by: str) -> DataFrame:
-    """(by, n, i, j, g): sums of products of the features and, last, the target. One pass, k squared numbers."""
+    """(by, n, i, j, product): sums of products of the features and, last, the target. One pass, k squared numbers."""
     xs = [*features, target]
     names = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
     sums = [F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}") for i, j in names]
     t = rows.groupBy(*by).agg(F.count("*").alias("n"), *sums) if by else rows.agg(F.count("*").alias("n"), *sums)
-    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g_{i}_{j}").alias("g")) for i, j in names]))
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g_{i}_{j}").alias("product")) for i, j in names]))
     return t.select(*by, "n", stacked.alias("s")).select(*by, "n", "s.*")
 
 
@@ -144,7 +144,7 @@ def _matrices(grams: DataFrame, by: str | None) -> dict[object, tuple[int, np.nd
     for r in rows:
         key = r[by] if by else None
         n, m = out.setdefault(key, (r["n"], np.zeros((k, k))))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["g"]
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["product"]
     return out
 
 

@@ -599,7 +599,7 @@ _X7 = ", ".join(f"embedding[{i + 1}]::double as x{i}" for i in range(7))
 @register(f"with e as (select label, {_X7} from embeddings) " + " union all ".join(f"select count(*) as n, {i} as i, {j} as j, round(sum({'x%d' % i if i < 7 else 'label'} * {'x%d' % j if j < 7 else 'label'}), 4)::double as g from e" for i in range(8) for j in range(i, 8)))
 def ridge_gram(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return stats.gram(e, [F.col("embedding")[i].cast("double") for i in range(7)], F.col("label").cast("double")).select("n", "i", "j", F.round("g", 4).alias("g"))
+    return stats.gram(e, [F.col("embedding")[i].cast("double") for i in range(7)], F.col("label").cast("double")).select("n", "i", "j", F.round("product", 4).alias("g"))
 
 
 @register()
