@@ -9,14 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LEVELS = {"logging": "debug info warning error exception critical log", "logger": "debug info warning error exception critical", "log": "debug info warning error", "console": "log debug info warn error trace table group time timeend"}
-DEFAULT: tuple[str, ...] = (
-    "org.slf4j.Logger", "ch.qos.logback", "org.apache.logging.log4j", "java.util.logging.Logger", "java.io.PrintStream::println", "java.io.PrintStream::print",
-    "io.micrometer", "io.opentelemetry", "io.opentracing", "com.codahale.metrics",
-    *(f"{k}.{x}" for k in ("logging", "logger", "log") for x in _LEVELS[k].split()),
-    "print", "std::io::_print", "std::io::_eprint", "log::__private_api", "tracing::event",
-    *(f"console.{x}" for x in _LEVELS["console"].split()),
-)
+_NAMES = {
+    "org.": "apache.logging.log4j slf4j.Logger",
+    "io.": "opentelemetry opentracing micrometer",
+    "java.": "io.PrintStream::print io.PrintStream::println util.logging.Logger",
+    "ch.": "qos.logback",
+    "com.": "codahale.metrics",
+    "logging.": "critical debug error exception info log warning",
+    "logger.": "critical debug error exception info warning",
+    "log.": "debug error info warning",
+    "console.": "debug error group info log table time timeend trace warn",
+    "std::io::": "_eprint _print",
+    "log::": "__private_api",
+    "tracing::": "event",
+    "": "print",
+}
+DEFAULT: tuple[str, ...] = tuple(root + name for root, names in _NAMES.items() for name in names.split())
 
 
 def _lower(s: str) -> str:

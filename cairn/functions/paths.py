@@ -6,17 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions by language.
-EXTENSIONS = {"python": ("py",), "javascript": ("js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx"), "rust": ("rs",), "java": ("java",), "kotlin": ("kt", "kts"), "go": ("go",)}
+EXTENSIONS = {"python": ("py",), "javascript": tuple("cjs cts js jsx mjs mts ts tsx".split()), "rust": ("rs",), "java": ("java",), "kotlin": ("kt", "kts"), "go": ("go",)}
 #: Kinds of input by extension; class files have no source language.
 KINDS = {"class": ("class",), "python": EXTENSIONS["python"], "js": EXTENSIONS["javascript"], "jvm source": (*EXTENSIONS["java"], *EXTENSIONS["kotlin"]), "rust": ("rs",), "go": ("go",)}
-SKIPPED = ("node_modules", "target", "venv", "__pycache__")
+SKIPPED = tuple("__pycache__ node_modules target venv".split())
 PROFILES = {"python": "instruction", "rust": "instruction", "javascript": "statement", "java": "statement", "kotlin": "statement", "go": "statement"}
 BUDGETS = {"rust": 60, "java": 60, "kotlin": 60, "python": 150, "javascript": 150, "go": 150}
 BUILDS = {"rust": "cargo test --no-run", "go": "go vet ./...", "java": None, "kotlin": None}
 #: Folders of tests, and patterns of their file names.
 TESTS = {
     "python": (("test", "tests"), r"^test_|_test\.py$"),
-    "javascript": (("test", "tests", "__tests__"), r"\.(test|spec)\.(js|mjs|cjs|jsx|ts|mts|cts|tsx)$"),
+    "javascript": (("test", "tests", "__tests__"), r"\.(test|spec)\.([cm]?[jt]s|[jt]sx)$"),
     "rust": (("test", "tests", "benches", "examples"), None),
     "java": (("test", "tests"), r"Test\.java$"),
     "kotlin": (("test", "tests"), r"Test\.kts?$"),

@@ -13,10 +13,10 @@ KINDS = ("pure", "branch", "return", "throw", "call", "state_write")
 TIERS = ("inert", "plumbing", "boundary", "core")
 #: Statements of a function above which it is set aside, as the analyses are quadratic in places.
 MAX_NODES = 4096
-#: Weights of the seven line features, by profile.
-PROFILES = {
-    "instruction": (0.1643, 0.1654, 0.1888, 0.1092, 0.1097, 0.2505, -0.0521),
-    "statement": (0.1386, 0.1109, 0.0917, 0.1559, 0.1587, 0.1800, 0.0522),
-}
-FEATURES = ("current", "schur", "pivot", "trophic", "strahler", "position", "boundary")
+#: The seven line features, and each one's weight by profile: instruction, statement.
+WEIGHTS = {"current": (0.1643, 0.1386), "schur": (0.1654, 0.1109), "pivot": (0.1888, 0.0917), "trophic": (0.1092, 0.1559), "strahler": (0.1097, 0.1587), "position": (0.2505, 0.18), "boundary": (-0.0521, 0.0522)}
+FEATURES = tuple(WEIGHTS)
+#: The features that are scores of statements beside the incumbent one.
+INSTRUMENTS = FEATURES[1:5]
+PROFILES = dict(zip(("instruction", "statement"), zip(*WEIGHTS.values())))
 WIRE = "file string, functions array<struct<file:string,name:string,signature:string,decl_line:int,entry:int,nodes:array<struct<line:int,kind:struct<t:string,callee:string,opacity:string,target:string>,defs:array<bigint>,uses:array<bigint>,succs:array<int>,label:string>>>>"

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cairn.functions.denylist import DEFAULT, Denylist
+from cairn.model import INSTRUMENTS
 from cairn.operators import instruments as inst
 from cairn.operators.graph import Graph, bits, strong_components
 from cairn.operators.tiers import Statement, Tiering, is_effect, is_structural
@@ -43,6 +44,7 @@ def _each(f: Callable[[Graph, int], object]) -> Callable[[Function], list]:
 
 #: Columns by name: Spark type and how a function yields it, a value a statement.
 FACTS: dict[str, tuple[str, Callable[[Function], list]]] = {
+    "order": (_INT, lambda x: [at.get(v) for at in [{v: i for i, v in enumerate(x.g.rpo)}] for v in range(x.g.n)]),
     "preds": (_INTS, lambda x: x.g.preds),
     "dominators": (_INTS, lambda x: [bits(d) for d in x.g.dom]),
     "idom": (_INT, lambda x: x.g.idom),
@@ -85,7 +87,7 @@ FACTS: dict[str, tuple[str, Callable[[Function], list]]] = {
     "strahler_order": (_INT, lambda x: inst.stream_orders(x.g)),
     "strahler": (_DOUBLE, lambda x: inst.unit_scale(inst.stream_orders(x.g))),
 }
-SCORERS = ("current", "panel", "schur", "pivot", "trophic", "strahler")
+SCORERS = ("current", "panel", *INSTRUMENTS)
 
 
 def _run(batches: Iterator[pa.RecordBatch], keep: list[str], columns: list[str], patterns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:

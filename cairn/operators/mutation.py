@@ -9,8 +9,10 @@ from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from cairn.functions.text import splice
 from cairn.plans.shared import ship_package
 
 
@@ -112,8 +114,18 @@ def text_sites(source: str, language: str) -> list[Site]:
     return out
 
 
-_CMP = {ast.Lt: ast.GtE, ast.LtE: ast.Gt, ast.Gt: ast.LtE, ast.GtE: ast.Lt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.Is: ast.IsNot, ast.IsNot: ast.Is, ast.In: ast.NotIn, ast.NotIn: ast.In}
-_BIN = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.Div, ast.Div: ast.Mult, ast.FloorDiv: ast.Mult, ast.Mod: ast.Mult, ast.Pow: ast.Mult, ast.BitAnd: ast.BitOr, ast.BitOr: ast.BitAnd, ast.LShift: ast.RShift, ast.RShift: ast.LShift}
+def _pairs(names: str) -> dict[type, type]:
+    """Node types by name, each standing for the other; ``a>b`` holds one way."""
+    out = {}
+    for a, mark, b in (re.match(r"(\w+)([=>])(\w+)", p).groups() for p in names.split()):
+        out[getattr(ast, a)] = getattr(ast, b)
+        if mark == "=":
+            out[getattr(ast, b)] = getattr(ast, a)
+    return out
+
+
+_CMP = _pairs("Lt=GtE Gt=LtE Eq=NotEq Is=IsNot In=NotIn")
+_BIN = _pairs("Add=Sub Mult=Div FloorDiv>Mult Mod>Mult Pow>Mult BitAnd=BitOr LShift=RShift")
 
 
 def python_mutants(source: str, delete: bool = True) -> list[tuple[int, str, str, str]]:
@@ -136,15 +148,15 @@ def python_mutants(source: str, delete: bool = True) -> list[tuple[int, str, str
 
     for node in list(ast.walk(tree)):
         if isinstance(node, ast.Compare):
-            for i, op in enumerate(node.ops):
-                if to := _CMP.get(type(op)):
-                    swap(node, "ops", to(), "cmp", f"{type(op).__name__} -> {to.__name__}", i)
+            known = [(i, type(o), _CMP[type(o)]) for i, o in enumerate(node.ops) if type(o) in _CMP]
+            for at, was, to in known:
+                swap(node, "ops", to(), "cmp", f"{was.__name__} -> {to.__name__}", at)
         elif isinstance(node, (ast.BinOp, ast.AugAssign)) and (to := _BIN.get(type(node.op))):
             swap(node, "op", to(), "bin", f"{type(node.op).__name__} -> {to.__name__}")
         elif isinstance(node, ast.BoolOp):
             to = ast.Or if isinstance(node.op, ast.And) else ast.And
             swap(node, "op", to(), "bool", f"{type(node.op).__name__} -> {to.__name__}")
-        elif isinstance(node, ast.Constant) and id(node) not in docs:
+        elif id(node) not in docs and isinstance(node, ast.Constant):
             v = node.value
             news = [not v] if isinstance(v, bool) else [v + 1, 0 if v else 1] if isinstance(v, (int, float)) else ["", v + "X"] if isinstance(v, str) and v else []
             for new in dict.fromkeys(map(repr, news)):
@@ -189,3 +201,17 @@ def python_sites(sources: DataFrame, limit: int | None = None, delete: bool = Tr
     """The mutants of Python texts, at most ``limit`` a text (the budget), with the number of all its sites."""
     ship_package(sources.sparkSession)
     return sources.select("path", "source").mapInArrow(partial(_python, limit=limit, delete=delete), "path string, line int, kind string, detail string, mutant string, total_sites int")
+
+
+def mutants(sources: DataFrame, language: str, limit: int | None = None) -> DataFrame:
+    """(path, line, kind, detail, mutant) by a language's engine: Python's parser, or a lexicon and splices that keep lines.
+
+    ``limit`` is a text's budget: its first sites in order.
+    """
+    if language == "python":
+        return python_sites(sources, limit).drop("total_sites")
+    found = sites(sources, language)
+    if limit is not None:
+        found = found.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("start"))).where(F.col("_n") <= limit)
+    spliced = splice(F.col("source"), F.col("start"), F.col("end"), F.col("replacement"))
+    return found.join(sources.select("path", "source"), "path").select("path", "line", "kind", "detail", spliced.alias("mutant"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.model import FEATURES, PROFILES
+from cairn.model import FEATURES, INSTRUMENTS, PROFILES
 from cairn.plans.ir import is_structural
 
 
@@ -27,11 +27,11 @@ def scored_lines(facts: DataFrame, *keys: str, scores: tuple[str, ...] = ("score
 def line_features(facts: DataFrame, *keys: str) -> DataFrame:
     """The seven features of each line, from facts with tier, score and the four instruments."""
     keys = keys or ("fn",)
-    lines = scored_lines(facts, *keys, scores=("score", "schur", "pivot", "trophic", "strahler"))
+    lines = scored_lines(facts, *keys, scores=("score", *INSTRUMENTS))
     w = Window.partitionBy(*keys)
     m, i = F.count("*").over(w), F.row_number().over(w.orderBy("line")) - 1
     position = F.when(m == 1, F.lit(0.5)).otherwise(i / F.greatest(m - 1, F.lit(1)))
-    ranks = [rank01(F.col(c), *keys).alias("current" if c == "score" else c) for c in ("score", "schur", "pivot", "trophic", "strahler")]
+    ranks = [rank01(F.col(c), *keys).alias("current" if c == "score" else c) for c in ("score", *INSTRUMENTS)]
     return lines.select(*keys, "line", *ranks, position.alias("position"), F.when(F.col("tier") == 2, 1.0).otherwise(0.0).alias("boundary"), "tier")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def ridge_weights(grams: DataFrame, lam: float) -> DataFrame:
     return grams.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(ridge(n, g, lam))], "feature int, weight double")
 
 
-LAMBDAS = (0.03, 0.1, 0.3, 1.0, 3.0)
+LAMBDAS = (3e-2, 1e-1, 3e-1, 1e0, 3e0)
 
 
 def leave_one_out(rows: DataFrame, features: list[str], target: str, by: str, lams: tuple[float, ...] = LAMBDAS) -> DataFrame:
@@ -232,3 +233,70 @@ def scorer_pivot(rows: DataFrame, scorers: list[str], *by: str) -> DataFrame:
 def within_budget(sites: DataFrame, budget: int, *order: str) -> DataFrame:
     """The first ``budget`` sites in order: the budget is a feature, handed on from file to file."""
     return sites.orderBy(*order).limit(budget)
+
+
+def pooled_rho(by_function: DataFrame, least: int = 5) -> DataFrame:
+    """(functions, rho): the mean of Fisher's z over functions with ``least`` pairs, weighted by pairs less three."""
+    z = F.atanh(F.least(F.greatest(F.col("rho"), F.lit(-0.999999)), F.lit(0.999999)))
+    kept = by_function.where(F.col("n") >= least)
+    return kept.agg(F.count("*").alias("functions"), F.tanh(weighted_mean(z, (F.col("n") - 3).cast("double"))).alias("rho"))
+
+
+def pooled_auc(by_function: DataFrame) -> DataFrame:
+    """(functions, auc): the mean over functions, weighted by their pairs."""
+    return by_function.agg(F.count("*").alias("functions"), weighted_mean(F.col("auc"), F.col("pairs").cast("double")).alias("auc"))
+
+
+#: What counts as low and as high, for a reader's labels and for measured leverage.
+SEPARATION = {"labels": (3.0, 7.0), "leverage": (0.15, 0.60)}
+
+
+def separation(rows: DataFrame, truth: str, score: str, kind: str, *by: str) -> DataFrame:
+    """(by, pairs, auc) of high against low lines; those between don't count."""
+    low, high = SEPARATION[kind]
+    ends = rows.where((F.col(truth) <= low) | (F.col(truth) >= high)).withColumn("_high", F.col(truth) >= high)
+    return auc(ends, score, "_high", *by)
+
+
+def row_leave_one_out(rows: DataFrame, features: list[str], target: str, key: str, lams: tuple[float, ...] = LAMBDAS) -> DataFrame:
+    """(lam, rho): for a single group, the rank correlation of predictions that each leave out their own row.
+
+    With the weights w of all rows, A the penalised Gram matrix and x a row, the prediction without it is
+    (x w - h y) / (1 - h), h = x A^-1 x, but for the penalty, which counts one row less: A is taken with n - 1.
+    """
+    n, g = _matrices(gram(rows, [F.col(f).cast("double") for f in features], F.col(target).cast("double")), None)[None]
+    k = len(features)
+    out = None
+    for lam in lams:
+        inverse = np.linalg.inv(g[:k, :k] + lam * max(n - 1, 1) * np.eye(k))
+        w = inverse @ g[:k, k]
+        guess = sum((F.col(f) * float(v) for f, v in zip(features, w)), F.lit(0.0))
+        h = sum((F.col(a) * F.col(b) * float(inverse[i, j]) for i, a in enumerate(features) for j, b in enumerate(features)), F.lit(0.0))
+        left = rows.withColumn("_guess", (guess - h * F.col(target)) / (1 - h))
+        r = spearman(left, "_guess", target, least=3).select(F.lit(float(lam)).alias("lam"), "rho")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def flatness(rows: DataFrame, value: str, *by: str, least: int = 3) -> DataFrame:
+    """(functions, flat, flat_share): of groups with ``least`` values, those whose values are all equal to six digits."""
+    t = rows.groupBy(*by).agg(F.count(value).alias("n"), F.countDistinct(F.round(value, 6)).alias("d")).where(F.col("n") >= least)
+    return t.agg(F.count("*").alias("functions"), F.count_if(F.col("d") == 1).alias("flat")).withColumn("flat_share", F.col("flat") / F.greatest(F.col("functions"), F.lit(1)))
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """(n, hash): the same for the same rows in any order; two runs are compared by it."""
+    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(38,0)")).alias("hash"))
+
+
+def divergence(a_status: str, a: str, b_status: str, b: str) -> Column:
+    """0 for equal observables, 1 where a run failed otherwise; else 1 less the similarity of their texts."""
+    same = F.col(a_status).eqNullSafe(F.col(b_status)) & F.col(a).eqNullSafe(F.col(b))
+    failed = (F.coalesce(F.col(a_status), F.lit("")) != "ok") | (F.coalesce(F.col(b_status), F.lit("")) != "ok")
+    return F.when(same, 0.0).when(failed, 1.0).otherwise(F.pandas_udf(_unlike, "double")(F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))))
+
+
+def _unlike(a: pd.Series, b: pd.Series) -> pd.Series:
+    from difflib import SequenceMatcher
+
+    return pd.Series([1.0 - SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import paths
 from cairn.functions.denylist import DEFAULT
-from cairn.model import MAX_NODES
+from cairn.model import INSTRUMENTS, MAX_NODES
 from cairn.operators import kernel, panel, scope
 from cairn.plans.shared import written
 from cairn.sources import bytecode, sinks, trees, wire
@@ -44,7 +44,7 @@ def statements(functions: DataFrame, scorer: str = "panel", profile: str | None
     """Statement facts with the scorer's score. The panel's profile is the file's language's unless given."""
     if scorer not in kernel.SCORERS:
         raise ValueError(f"scorer is one of {kernel.SCORERS}")
-    need = ["structural", "tier", "score", "reasons", *(["schur", "pivot", "trophic", "strahler"] if scorer == "panel" else [scorer] if scorer != "current" else [])]
+    need = ["structural", "tier", "score", "reasons", *(INSTRUMENTS if scorer == "panel" else [scorer] if scorer != "current" else [])]
     f = kernel.facts(functions.select(*KEYS, "entry", "nodes"), *need, patterns=patterns)
     if scorer != "panel" or profile:
         return panel.rescored(f, scorer, profile or "instruction", *KEYS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.model import FEATURES
 from cairn.operators import panel, stats
 
 
@@ -54,5 +55,5 @@ def dataset(pairs: DataFrame, spans: DataFrame, features: DataFrame, root: str,
     """Rows of the calibration dataset: each paired line with its features, counts and rate."""
     names = spans.select("fn", "file", "name").distinct()
     t = pairs.join(features.drop("file", "tier"), ["fn", "line"]).join(names, ["fn", "file"])
-    instruments = F.struct(*("current", "schur", "pivot", "trophic", "strahler", "position", "boundary"))
+    instruments = F.struct(*FEATURES)
     return t.select(F.lit(root).alias("root"), F.lit(language).alias("language"), F.lit(profile).alias("profile"), "file", F.col("name").alias("function"), "line", instruments.alias("instruments"), "panel", "mutants", "killed", "kill_rate")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn import oracles as o
 from cairn.functions import denylist, paths, text
+from cairn.model import INSTRUMENTS
 from cairn.operators import kernel, mutation, panel, scope, stats
 from cairn.plans import ir
 
@@ -51,10 +52,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir, "structural", "tier", "score", "schur", "pivot", "trophic", "strahler", keys=("fn", "file", "name"))
+    return facts(spark, sf_dir, "structural", "tier", "score", *INSTRUMENTS, keys=("fn", "file", "name"))
 
 
-# ---- the representation -------------------------------------------------------------------------------------------
+# -- the representation
 
 
 @register(o.q(o.IR, "select fn, file, name, nid, n, line, kind, callee, target, def_var, use_var from node"))
@@ -93,7 +94,7 @@ def ir_oversized(spark, sf_dir):
     return ir.oversized(ir.from_lines(spark, sf_dir), most=6)
 
 
-# ---- names and paths ----------------------------------------------------------------------------------------------
+# -- names and paths
 
 
 @register(o.q(o.IR + o.DENY.split("\n, users as")[0], "select fn, nid, denylisted from deny"))
@@ -148,7 +149,7 @@ def relative_uri(spark, sf_dir):
     return _paths(spark, sf_dir).select("path", text.relative_uri(F.concat("path", F.lit(" é?"))).alias("uri"))
 
 
-# ---- graph facts --------------------------------------------------------------------------------------------------
+# -- graph facts
 
 
 @register(o.q(o.IR + o.CUT, "select fn, a::int as dominator, b::int as nid from dom"))
@@ -220,7 +221,7 @@ def scc(spark, sf_dir):
     return facts(spark, sf_dir, "scc").select("fn", "nid", "scc")
 
 
-# ---- tiers --------------------------------------------------------------------------------------------------------
+# -- tiers
 
 
 @register(o.q(o.GRAPH + o.DENY, "select n.fn, n.nid, exists (select 1 from useful u where u.fn = n.fn and u.nid = n.nid) as useful, exists (select 1 from feeds f where f.fn = n.fn and f.nid = n.nid) as feeds_denylist, inert from node n join inert using (fn, nid)"))
@@ -243,7 +244,7 @@ def reasons(spark, sf_dir):
     return facts(spark, sf_dir, "reasons").select("fn", "nid", F.explode("reasons").alias("r")).select("fn", "nid", "r.tier", "r.text")
 
 
-# ---- instruments --------------------------------------------------------------------------------------------------
+# -- instruments
 
 
 @register(o.q(o.GRAPH, ", weighed as (select fn, src, dst, 1.0 as w from data union all select fn, branch, nid, 0.6 from ctrl)\nselect fn, src::int as src, dst::int as dst, round(sum(w), 6)::double as weight from weighed group by fn, src, dst"))
@@ -270,7 +271,7 @@ def instruments(spark, sf_dir):
     return facts(spark, sf_dir, "schur", "birnbaum", "pivot", "trophic_level", "trophic", "strahler_order", "strahler")
 
 
-# ---- panel, lines and spans ---------------------------------------------------------------------------------------
+# -- panel, lines and spans
 
 
 @register("select l_orderkey as fn, l_linenumber as line, l_partkey, l_suppkey, l_extendedprice, round(" + o.rank01("l_extendedprice", "l_orderkey") + ", 6) as rank from lineitem")
@@ -326,7 +327,7 @@ def apply_scope(spark, sf_dir):
     return panel.apply_scope(panel.spans(_flat_lines(spark, sf_dir)).drop("rank"), s, "fn")
 
 
-# ---- call graph and scope -----------------------------------------------------------------------------------------
+# -- call graph and scope
 
 
 def _functions(nodes: DataFrame) -> DataFrame:
@@ -396,7 +397,7 @@ def repo_score(spark, sf_dir):
     return _scope(spark, sf_dir)
 
 
-# ---- reports ------------------------------------------------------------------------------------------------------
+# -- reports
 
 
 @register(o.q(o.ALL + o.LINE, "select fn, count_if(tier = 3) as core, count_if(tier = 2) as boundary, count_if(tier = 1) as plumbing, count_if(tier = 0) as inert from lined group by fn"))
@@ -422,7 +423,7 @@ def span_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.span_text(F.col("text"), F.lit(2), F.least(F.lit(4), n)).alias("span"))
 
 
-# ---- mutation -----------------------------------------------------------------------------------------------------
+# -- mutation
 
 
 @register(r"select page_id, len(regexp_extract_all(html, '&&|\|\||<=|!=')) as sites from pages")
@@ -446,7 +447,7 @@ def splice(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.splice(F.col("text"), F.lit(5), F.lit(45), F.lit("XX")).alias("spliced"))
 
 
-# ---- calibration and statistics -----------------------------------------------------------------------------------
+# -- calibration and statistics
 
 
 _OUTCOME = "case event_type when 'error' then 'killed' when 'purchase' then 'timeout' when 'login' then 'invalid' else 'survived' end"

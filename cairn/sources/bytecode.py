@@ -23,6 +23,9 @@ _LEAVES = {"RETURN_VALUE": "return", "RETURN_CONST": "return", "RAISE_VARARGS":
 _POPS = {"POP_TOP": 1, "STORE_ATTR": 2, "STORE_SUBSCR": 3, "STORE_SLICE": 4, "STORE_GLOBAL": 1, "STORE_NAME": 1, "STORE_DEREF": 1, "RETURN_VALUE": 1, "BINARY_OP": 2, "BINARY_SUBSCR": 2, "BINARY_SLICE": 3, "COMPARE_OP": 2, "IS_OP": 2, "CONTAINS_OP": 2, "GET_ITER": 1, "LOAD_ATTR": 1, "YIELD_VALUE": 1, "TO_BOOL": 1, "UNARY_NOT": 1, "UNARY_NEGATIVE": 1, "UNARY_INVERT": 1, "UNPACK_SEQUENCE": 1, "LIST_APPEND": 1, "SET_ADD": 1, "MAP_ADD": 2, "LIST_EXTEND": 1, "MAKE_FUNCTION": 1, "FORMAT_SIMPLE": 1, "CONVERT_VALUE": 1}
 
 
+_GATHERS = frozenset(f"BUILD_{x}" for x in "STRING SET TUPLE LIST".split())
+
+
 class _Stack:
     """Values by number, with the source name of each where it has one."""
 
@@ -95,7 +98,7 @@ def lower(code: CodeType) -> dict | None:
         elif op in ("CALL", "CALL_KW", "CALL_FUNCTION_EX"):
             got = take(arg + 2 + (op == "CALL_KW") if op != "CALL_FUNCTION_EX" else 1 - _effect(ins))
             callee = next((n for _, n in got[:2] if n), None)
-            kind = {"t": "call", "callee": callee or "<dynamic>", "opacity": "opaque"}
+            kind = dict(t="call", callee=callee or "<dynamic>", opacity="opaque")
             defs.append(stack.push())
         elif op == "COPY":
             at = stack.items[-arg] if 0 < arg <= len(stack.items) else (None, None)
@@ -108,11 +111,11 @@ def lower(code: CodeType) -> dict | None:
             defs.append(stack.push())
         else:
             net = _effect(ins)
-            pops = arg if op in ("BUILD_LIST", "BUILD_TUPLE", "BUILD_SET", "BUILD_STRING") else 2 * arg if op == "BUILD_MAP" else _POPS.get(op, 1 if op.startswith("POP_JUMP") else max(-net, 0))
+            pops = arg if op in _GATHERS else 2 * arg if op == "BUILD_MAP" else _POPS.get(op, 1 if op.startswith("POP_JUMP") else max(-net, 0))
             take(pops)
             defs += [stack.push() for _ in range(max(pops + net, 0))]
             if op in _WRITES:
-                kind = {"t": "state_write", "target": _WRITES[op].format(value)}
+                kind = dict(t="state_write", target=_WRITES[op].format(value))
             elif op in _LEAVES:
                 kind = {"t": _LEAVES[op]}
             elif op.startswith(("POP_JUMP", "FOR_ITER", "JUMP_IF")):
@@ -124,8 +127,8 @@ def lower(code: CodeType) -> dict | None:
             succs.add(place[value])
         here = ins.line_number if hasattr(ins, "line_number") else ins.starts_line
         line = here if here is not None else line
-        nodes.append({"line": line, "kind": kind, "defs": sorted(set(defs)), "uses": sorted(set(uses)), "succs": sorted(succs), "label": f"{ins.offset}: {op} {ins.argrepr}".strip()})
-    return {"file": None, "name": code.co_qualname, "signature": "", "decl_line": code.co_firstlineno, "entry": 0, "nodes": nodes}
+        nodes.append({"label": f"{ins.offset}: {op} {ins.argrepr}".strip(), "line": line, "succs": sorted(succs), "uses": sorted({*uses}), "defs": sorted({*defs}), "kind": kind})
+    return {"nodes": nodes, "entry": 0, "name": code.co_qualname, "file": None, "decl_line": code.co_firstlineno, "signature": ""}
 
 
 def lower_source(source: str, path: str = "<source>") -> list[dict]:

@@ -69,7 +69,7 @@ def sarif(results: DataFrame, tiers: tuple[str, ...] = ("core", "boundary"), ver
     driver = F.struct(F.lit("cairn").alias("name"), F.lit(version).alias("version"), rules.alias("rules"))
     t = results.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("line", result.alias("r")))).alias("rs"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.transform("rs", lambda x: x["r"]).alias("results"))
-    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
+    log = F.struct(F.lit("https://json.schemastore.org/" + "sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
     return t.select("uri", F.to_json(log).alias("json"))
 
 

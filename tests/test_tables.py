@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, text
+from cairn.model import INSTRUMENTS
 from cairn.operators import kernel, mutation, panel, scope, stats
 from cairn.plans import ir
 from cairn.sources import bytecode, datasets, sinks, smap, trees, wire
@@ -23,7 +24,7 @@ def chain(spark, fn=1, file="a.py", name="f"):
 
 
 def test_panel_on_a_chain(spark):
-    f = kernel.facts(ir.pack(chain(spark), "fn"), "structural", "tier", "score", "schur", "pivot", "trophic", "strahler")
+    f = kernel.facts(ir.pack(chain(spark), "fn"), "structural", "tier", "score", *INSTRUMENTS)
     lines = panel.line_features(f)
     a = {r.line: r.panel for r in panel.panel_score(lines, "instruction").collect()}
     b = {r.line: r.panel for r in panel.panel_score(lines, "statement").collect()}
@@ -189,7 +190,8 @@ def test_bytecode_agrees_with_the_story(spark):
     log = json.loads(sinks.sarif(sinks.results(spans.withColumn("file", F.lit("a b.py")))).collect()[0].json)
     res = log["runs"][0]["results"]
     assert {r["properties"]["tier"] for r in res} <= {"core", "boundary"} and all(r["level"] == "note" for r in res)
-    assert res[0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a%20b.py"
+    place = res[0]["locations"][0]
+    assert place["physicalLocation"]["artifactLocation"] == {"uri": "a%20b.py"}
     marked = sinks.annotated(src.where("path = 'a.py'").select(F.col("path").alias("file"), "source"), spans.withColumn("file", F.lit("a.py")))
     assert marked.where("line = 7").collect()[0].tier == "core" and marked.count() == SOURCE.count("\n") + 1
     assert sinks.report(spans.withColumn("file", F.lit("a.py"))).count() == spans.count()
@@ -286,10 +288,47 @@ def test_analysis_of_a_tree(spark, tmp_path):
         r = calibrate.judged(pairs, 54).collect()[0]
         assert r.lines == pairs.count() >= 6 and -1 <= r.rho <= 1 and r.verdict == "insufficient data" and r.gate == 2
         assert calibrate.by_function(pairs).count() == 1
-    features = panel.line_features(kernel.facts(functions.select("fn", "file", "name", "entry", "nodes"), "structural", "tier", "score", "schur", "pivot", "trophic", "strahler"), "fn", "file", "name").drop("name")
+    features = panel.line_features(kernel.facts(functions.select("fn", "file", "name", "entry", "nodes"), "structural", "tier", "score", *INSTRUMENTS), "fn", "file", "name").drop("name")
     rows = calibrate.dataset(pairs, spans, features, "src", "python", "instruction")
     assert rows.count() == pairs.count() and set(datasets.DATASET.split(" ")[0:1]) == {rows.columns[0]}
     with pytest.raises(ValueError):
         (tmp_path / "none").mkdir()
         (tmp_path / "none" / "x.txt").write_text("")
         analyze.read(spark, str(tmp_path / "none"))
+
+
+def test_pooled_statistics(spark):
+    import numpy as np
+
+    t = spark.createDataFrame([("f", 0.5, 13), ("g", -0.2, 8), ("h", 0.9, 3)], "k string, rho double, n long")
+    want = np.tanh((np.arctanh(0.5) * 10 + np.arctanh(-0.2) * 5) / 15)
+    r = stats.pooled_rho(t).collect()[0]
+    assert r.functions == 2 and r.rho == pytest.approx(want)
+    rows = spark.createDataFrame([("a", 1.0, 0.1), ("a", 2.0, 0.4), ("a", 5.0, 0.0), ("a", 8.0, 0.4), ("a", 9.0, 0.7)], "k string, t double, s double")
+    assert one(stats.pooled_auc(stats.separation(rows, "t", "s", "labels", "k")).select("auc")) == pytest.approx((1 + 0.5 + 1 + 1) / 4)
+    assert stats.flatness(rows.withColumn("s", F.lit(1.0)), "s", "k").collect()[0].flat == 1
+    assert stats.fingerprint(rows).collect() == stats.fingerprint(rows.repartition(3)).collect()
+    d = spark.createDataFrame([("ok", "abcd", "ok", "abcd"), ("ok", "abcd", "ok", "abxd"), ("ok", "a", "err", "a"), ("err", "x", "err", "x")], "sa string, a string, sb string, b string")
+    assert [x[0] for x in d.select(stats.divergence("sa", "a", "sb", "b")).collect()] == [0.0, 0.25, 1.0, 0.0]
+
+
+def test_row_leave_one_out(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(25, 2)), rng.normal(size=25)
+    d = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(25)], "k long, a double, b double, y double")
+    got = {r.lam: r.rho for r in stats.row_leave_one_out(d, ["a", "b"], "y", "k").collect()}
+    for lam, rho in got.items():
+        guess = []
+        for i in range(25):
+            m = np.arange(25) != i
+            guess.append(x[i] @ np.linalg.solve(x[m].T @ x[m] + lam * 24 * np.eye(2), x[m].T @ y[m]))
+        a, b = np.argsort(np.argsort(guess)), np.argsort(np.argsort(y))
+        assert rho == pytest.approx(np.corrcoef(a, b)[0, 1])
+
+
+def test_mutants_by_language(spark):
+    src = spark.createDataFrame([("a", "x = a + b\ny = 1\n"), ("b", None)], "path string, source string")
+    assert {r.mutant for r in mutation.mutants(src, "go").collect()} == {"x = a - b\ny = 1\n", "x = a + b\ny = 0\n"}
+    assert mutation.mutants(src, "go", limit=1).count() == 1 and mutation.mutants(src, "python", limit=2).count() == 2
