@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from cairn.plans.shared import ship_package
 #: White space of the corpus contracts, as bytes.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Texts are worked on in pieces of about so many bytes, to bound a worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -26,8 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each hold ``most`` bytes, or one row."""
+#: What a worker remembers between tasks, by the kind of work; other work lets go of it.
+REMEMBERED: dict[str, dict] = {}
+
+
+def let_go(but: str | None = None) -> None:
+    """Frees what other kinds of work have left in this worker, and returns unused memory to the system."""
+    for kind in list(REMEMBERED):
+        if kind != but:
+            REMEMBERED.pop(kind).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, work: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each hold ``most`` bytes, or one row. ``work``: the memory to keep."""
+    let_go(work)
     for b in batches:
         if not b.num_rows:
             continue

@@ -122,7 +122,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, kind: s
     enc = encoder(tokenizer, kind)
     bits = max(1, (max(enc.tok.get_vocab_size() - 1, end)).bit_length())
     writer = None
-    for b in slices(batches):
+    for b in slices(batches, most=8 << 20, work="tokens"):
         ids, ends = enc.encode(text_of(b.column("text")))
         ids = np.insert(ids, ends[1:], end)
         if writer is None:

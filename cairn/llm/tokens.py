@@ -17,11 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from cairn.llm.common import Words
+from cairn.llm.common import REMEMBERED, Words
 
-_KEPT: dict[str, "Encoder"] = {}
 #: Distinct pieces that a worker remembers before it starts afresh; this bounds memory only.
-REMEMBER = 600_000
+REMEMBER = 500_000
 #: Pieces that go through one call together, and the control character that parts them.
 TOGETHER, MARK = 100, "\x01"
 #: Letters whose lower case and composed form are simple, and stops that no contraction begins with.
@@ -33,9 +32,11 @@ _BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(b f
 
 def encoder(path: str, kind: str) -> "Encoder":
     """The worker's encoder for a tokenizer file."""
-    if path not in _KEPT:
-        _KEPT[path] = Encoder(path, kind)
-    return _KEPT[path]
+    kept = REMEMBERED.setdefault("tokens", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = Encoder(path, kind)
+    return kept[path]
 
 
 class Encoder:
