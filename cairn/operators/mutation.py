@@ -126,6 +126,8 @@ def _pairs(names: str) -> dict[type, type]:
 
 _CMP = _pairs("Lt=GtE Gt=LtE Eq=NotEq Is=IsNot In=NotIn")
 _BIN = _pairs("Add=Sub Mult=Div FloorDiv>Mult Mod>Mult Pow>Mult BitAnd=BitOr LShift=RShift")
+_BOOL = _pairs("And=Or")
+_ARITHMETIC = (ast.AugAssign, ast.BinOp)
 
 
 def python_mutants(source: str, delete: bool = True) -> list[tuple[int, str, str, str]]:
@@ -151,10 +153,10 @@ def python_mutants(source: str, delete: bool = True) -> list[tuple[int, str, str
             known = [(i, type(o), _CMP[type(o)]) for i, o in enumerate(node.ops) if type(o) in _CMP]
             for at, was, to in known:
                 swap(node, "ops", to(), "cmp", f"{was.__name__} -> {to.__name__}", at)
-        elif isinstance(node, (ast.BinOp, ast.AugAssign)) and (to := _BIN.get(type(node.op))):
+        elif isinstance(node, _ARITHMETIC) and (to := _BIN.get(type(node.op))):
             swap(node, "op", to(), "bin", f"{type(node.op).__name__} -> {to.__name__}")
         elif isinstance(node, ast.BoolOp):
-            to = ast.Or if isinstance(node.op, ast.And) else ast.And
+            to = _BOOL[type(node.op)]
             swap(node, "op", to(), "bool", f"{type(node.op).__name__} -> {to.__name__}")
         elif id(node) not in docs and isinstance(node, ast.Constant):
             v = node.value
