@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.model import FEATURES, INSTRUMENTS, PROFILES
 from cairn.plans.ir import is_structural
+from cairn.plans.shared import written
 
 
 def rank01(value: Column, *by: Column | str) -> Column:
@@ -18,6 +19,23 @@ def rank01(value: Column, *by: Column | str) -> Column:
     return F.when(n <= 1, F.lit(0.5)).otherwise((rank + (peers - 1) / 2 - 1) / (n - 1))
 
 
+def global_rank01(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: rank01 of ``value`` among all rows, without gathering them.
+
+    Equal values are counted first. Their counts are range-partitioned by value, so that a running sum within
+    a partition and the sums of the partitions before it, one row each, make up every value's rank.
+    """
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = written(rows.sparkSession, counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "ranks")
+    sums = ranged.groupBy("_p").agg(F.sum("_c").alias("_s"))
+    every = Window.partitionBy(F.lit(0))  # one row a partition
+    before = sums.select("_p", (F.sum("_s").over(every.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(every).alias("_n"))
+    first = F.col("_before") + F.sum("_c").over(Window.partitionBy("_p").orderBy("_v")) - F.col("_c")
+    rank = F.when(F.col("_n") <= 1, F.lit(0.5)).otherwise((first + (F.col("_c") - 1) / 2) / (F.col("_n") - 1))
+    ranks = ranged.join(F.broadcast(before), "_p").select("_v", rank.alias(name))
+    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def scored_lines(facts: DataFrame, *keys: str, scores: tuple[str, ...] = ("score",)) -> DataFrame:
     """A line's largest tier and scores over its statements, jumps and nops left out."""
     rows = facts.where(F.col("line").isNotNull() & ~F.col("structural"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.graph import strong_components
-from cairn.operators.panel import rank01
+from cairn.operators.panel import global_rank01, rank01
 from cairn.plans.shared import ship_package, written
 
 
@@ -160,8 +160,7 @@ def boundary_density(lines: DataFrame, functions: DataFrame) -> DataFrame:
 def function_features(nodes: DataFrame, lines: DataFrame, functions: DataFrame, *by: str) -> DataFrame:
     """(fn, by, trophic, fan_in, size_share, boundary_density, weight): four ranks and their mean.
 
-    With ``by`` = ("file",) ranks and calls are those within files; without, over the whole repository,
-    where the ranks' window spans one row a function.
+    With ``by`` = ("file",) ranks and calls are those within files; without, over the whole repository.
     """
     edges = call_edges(nodes, functions, *by)
     if by:
@@ -169,8 +168,14 @@ def function_features(nodes: DataFrame, lines: DataFrame, functions: DataFrame,
     else:
         depth = call_depth(edges, functions)
     t = functions.select("fn", *by).join(depth, "fn").join(fan_in(edges, functions), "fn").join(boundary_density(lines, functions), "fn")
-    part = by or (F.lit(0),)
-    ranked = t.select("fn", *by, *(rank01(F.col(c), *part).alias(a) for c, a in (("depth", "trophic"), ("fan_in", "fan_in"), ("size", "size_share"), ("boundary_density", "boundary_density"))))
+    names = (("depth", "trophic"), ("fan_in", "fan_in"), ("size", "size_share"), ("boundary_density", "boundary_density"))
+    if by:
+        ranked = t.select("fn", *by, *(rank01(F.col(c), *by).alias(a) for c, a in names))
+    else:
+        ranked = written(t.sparkSession, t.select("fn", *(F.col(c).cast("double").alias(f"_{c}") for c, _ in names)), "features")
+        for c, a in names:
+            ranked = global_rank01(ranked, f"_{c}", a)
+        ranked = ranked.drop(*(f"_{c}" for c, _ in names))
     return ranked.withColumn("weight", (F.col("trophic") + F.col("fan_in") + F.col("size_share") + F.col("boundary_density")) / 4)
 
 
@@ -196,5 +201,7 @@ def blended(lines: DataFrame, features: DataFrame, *by: str) -> DataFrame:
     """(file, line, fn, score): an owner's line scores times its weight, ranked within ``by`` (or over all)."""
     owned = line_owners(lines).join(lines.select("file", "fn", "line", F.col("score").alias("raw")), ["file", "fn", "line"])
     owned = owned.join(features.select("fn", "weight"), "fn").withColumn("raw", F.col("raw") * F.col("weight"))
-    part = by or (F.lit(0),)
-    return owned.select("file", "line", "fn", rank01(F.col("raw"), *part).alias("score"))
+    if by:
+        return owned.select("file", "line", "fn", rank01(F.col("raw"), *by).alias("score"))
+    owned = written(owned.sparkSession, owned.select("file", "line", "fn", "raw"), "owned")
+    return global_rank01(owned, "raw", "score").select("file", "line", "fn", "score")

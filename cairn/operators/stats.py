@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.panel import global_rank01
+from cairn.plans.shared import written
+
 
 def average_rank(value: Column, *by: Column | str) -> Column:
     """Ranks from 1, ties sharing their mean."""
@@ -17,13 +20,18 @@ def average_rank(value: Column, *by: Column | str) -> Column:
 
 def spearman(rows: DataFrame, a: str, b: str, *by: str, least: int = 2) -> DataFrame:
     """(by, n, rho): Pearson's correlation of average ranks; 0 where a side is constant or rows are too few."""
-    part = by or (F.lit(0),)
-    ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, average_rank(F.col(a), *part).alias("ra"), average_rank(F.col(b), *part).alias("rb"))
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    if by:
+        ranked = both.select(*by, average_rank(F.col(a), *by).alias("ra"), average_rank(F.col(b), *by).alias("rb"))
+    else:  # the correlation is that of ranks on any scale
+        both = written(rows.sparkSession, both.select(F.col(a).alias("_a"), F.col(b).alias("_b")), "pairs")
+        ranked = global_rank01(global_rank01(both, "_a", "ra"), "_b", "rb").select("ra", "rb")
     sums = [F.count("*").alias("n"), F.sum("ra").alias("sa"), F.sum("rb").alias("sb"), F.sum(F.col("ra") * F.col("ra")).alias("saa"), F.sum(F.col("rb") * F.col("rb")).alias("sbb"), F.sum(F.col("ra") * F.col("rb")).alias("sab")]
     t = ranked.groupBy(*by).agg(*sums) if by else ranked.agg(*sums)
     n = F.col("n")
+    tiny = 0.0 if by else 1e-12
     cov, va, vb = n * F.col("sab") - F.col("sa") * F.col("sb"), n * F.col("saa") - F.col("sa") ** 2, n * F.col("sbb") - F.col("sb") ** 2
-    rho = F.when((n >= least) & (va > 0) & (vb > 0), F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))).otherwise(0.0)
+    rho = F.when((n >= least) & (va > tiny) & (vb > tiny), F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))).otherwise(0.0)
     return t.select(*by, "n", F.coalesce(rho, F.lit(0.0)).alias("rho"))
 
 

@@ -47,6 +47,16 @@ def test_size_guard_and_validation(spark):
     assert kernel.facts(ir.pack(n.limit(0), "fn"), "tier").count() == 0
 
 
+def test_global_rank_is_the_window_s(spark):
+    import random
+
+    rng = random.Random(4)
+    d = spark.createDataFrame([(i, rng.choice([0.0, 0.0, rng.random()])) for i in range(500)], "i long, x double").repartition(5)
+    want = {r.i: r.r for r in d.select("i", panel.rank01(F.col("x"), F.lit(0)).alias("r")).collect()}
+    assert {r.i: r.r for r in panel.global_rank01(d, "x", "r").collect()} == pytest.approx(want)
+    assert one(panel.global_rank01(d.limit(1), "x", "r").select("r")) == 0.5 and panel.global_rank01(d.limit(0), "x", "r").count() == 0
+
+
 def test_spans_compare_with_the_first_line(spark):
     d = 0.6e-9
     rows = [(1, 1, 2, 0.5), (1, 2, 2, 0.5 + d), (1, 3, 2, 0.5 + 2 * d), (1, 5, 2, 0.5), (1, 6, 1, 0.1)]
