@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm.common import ready, slices, text_of
+from cairn.llm.common import let_go, ready, slices, text_of
 from cairn.llm.tokens import encoder
 from cairn.plans.shared import written
 
 #: Ids of a shard, terms of a query (its rarest), and neighbours that one query returns.
-SHARD_IDS, QUERY_TERMS, NEIGHBOURS = 4_000_000, 24, 16
+SHARD_IDS, QUERY_TERMS, NEIGHBOURS = 2_000_000, 24, 16
 K1, B = 1.2, 0.75
 
 
@@ -129,6 +129,7 @@ def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, fil
 
 
 def _pack(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, window: int, shard_ids: int, width: np.dtype) -> Iterator[pa.RecordBatch]:
+    let_go()
     task = TaskContext.get()
     base = (task.partitionId() if task else 0) << 40
     state = {"sequence": 0, "left": []}  # left: pieces (doc_id, start, ids, doc_tokens) of the window that isn't full

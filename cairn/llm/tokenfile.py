@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ready, slices, text_of
+from cairn.llm.common import let_go, ready, slices, text_of
 from cairn.llm.tokens import encoder
 from cairn.plans.shared import filesystem, shared_path
 
@@ -138,6 +138,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, kind: s
 
 
 def _read(batches: Iterator[pa.RecordBatch], path: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    let_go()
     files, root = filesystem(path)
     for b in batches:
         for part, base in zip(b.column("part").to_pylist(), b.column("base").to_pylist()):
