@@ -209,14 +209,14 @@ def bare_sha(text) -> "F.Column":
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that copy one that stays; columns and kept rows as they were.
 
-    Rows are found again by their ids. Only where an id is on several rows is the text's hash looked
+    Rows are found again by their ids, which grow with the documents and are never broadcast. Only where an id is on several rows is the text's hash looked
     at too, and rows that repeat both are collapsed by a partial aggregation.
     """
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     kept = written(docs.sparkSession, kept, "exact-kept")
-    repeated = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
+    repeated = written(docs.sparkSession, docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"), "repeated")  # of known size: no shuffle of all texts where it is small
     is_kept, is_repeated = F.col(id_col).eqNullSafe(F.col("_kept_id")), F.col(id_col).eqNullSafe(F.col("_id"))
-    once = docs.join(kept, is_kept, "left_semi").join(repeated, is_repeated, "left_anti")
+    once = docs.join(kept.hint("merge"), is_kept, "left_semi").join(repeated, is_repeated, "left_anti")
     some = docs.join(repeated, is_repeated, "left_semi").withColumn("_sha", bare_sha(F.col(text_col))).withColumn("_size", -F.coalesce(F.length(text_col), F.lit(0)))
     some = some.join(kept, is_kept & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
     row = F.struct("_size", *(F.col(f"`{c}`") for c in docs.columns))

@@ -146,7 +146,8 @@ def near_groups(docs: DataFrame, percent: int = 75, permutations: int = PERMUTAT
     # the sets of all that may be linked: every class in a bucket with another
     members = first.select("node", "set_key", "id").join(buckets.select("node").distinct(), "node")
     members = written(spark, members, "near-members")
-    texts = base.join(members.where("id is not null").select("id"), F.col("doc_id") == F.col("id"), "left_semi").unionByName(base.where("doc_id is null"))
+    wanted = members.where("id is not null").select("id").hint("merge")  # ids grow with the documents: never broadcast
+    texts = base.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").unionByName(base.where("doc_id is null"))
     sets = texts.select("text").mapInArrow(_sets, "set_key binary, set binary").dropDuplicates(["set_key"])
     sets = written(spark, sets.join(members, "set_key").select("node", "set"), "near-sets")
 
@@ -185,8 +186,8 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     from cairn.llm.exactdup import bare_sha
 
     kept = written(docs.sparkSession, near_groups(docs, percent, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "near-kept")
-    repeated = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
-    once = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
+    repeated = written(docs.sparkSession, docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"), "repeated")  # of known size: no shuffle of all texts where it is small
+    once = docs.join(kept.hint("merge"), F.col(id_col) == F.col("_kept_id"), "left_semi").join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
     some = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     some = some.groupBy(F.col(id_col).alias("_id"), bare_sha(F.col(text_col)).alias("_sha")).agg(F.min(row).alias("_row")).select("_row.*")
