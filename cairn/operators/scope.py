@@ -162,7 +162,9 @@ def function_features(nodes: DataFrame, lines: DataFrame, functions: DataFrame,
 
     With ``by`` = ("file",) ranks and calls are those within files; without, over the whole repository.
     """
-    edges = call_edges(nodes, functions, *by)
+    spark = nodes.sparkSession
+    functions = written(spark, functions, "functions")  # these and the edges are read again and again
+    edges = written(spark, call_edges(nodes, functions, *by), "call-edges")
     if by:
         depth = _packed_depth(edges, functions, *by)
     else:

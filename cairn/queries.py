@@ -12,6 +12,7 @@ from cairn.functions import denylist, paths, text
 from cairn.model import INSTRUMENTS
 from cairn.operators import kernel, mutation, panel, scope, stats
 from cairn.plans import ir
+from cairn.plans.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -381,8 +382,10 @@ def line_owner(spark, sf_dir):
 
 
 def _scope(spark, sf_dir, *by):
-    nodes = ir.from_lines(spark, sf_dir)
-    lines = panel.scored_lines(facts(spark, sf_dir, "structural", "tier", "score", keys=("fn", "file", "name")), "fn", "file")
+    nodes = written(spark, ir.from_lines(spark, sf_dir), "nodes")  # packed, searched for calls and for names
+    f = kernel.facts(ir.pack(nodes, "fn", "file", "name"), "structural", "tier", "score")
+    lines = panel.scored_lines(f, "fn", "file")
+    lines = written(spark, lines, "lines")
     features = scope.function_features(nodes, lines, _functions(nodes), *by)
     return scope.blended(lines, features, *by)
 
