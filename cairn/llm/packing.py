@@ -4,8 +4,9 @@ The documents' ids are written once, with the number of documents that hold each
 most one number an id of the vocabulary. Every task then cuts its rows into shards of a bounded
 number of ids, each with a BM25 inverted index over its own documents but weighted by the counts
 and the mean length over all documents. A window is filled from a seed: the rest of the document
-that the last window cut, or the next unused one. The index returns the unused neighbours of the
-seed, best first, which fill the window; the last is cut, and its rest seeds the next window.
+that the last window cut, or the next unused one. Queried with all distinct ids of the seed, the
+index returns its unused neighbours, best first, which fill the window; the last is cut, and its
+rest seeds the next window.
 Where the index knows no unused neighbour, the next unused document follows, so all are packed.
 
 Windows run on over a task's shards. At a task's end the ids left over make sequences with lengths
@@ -31,8 +32,8 @@ from cairn.llm.common import let_go, ready, slices, text_of
 from cairn.llm.tokens import encoder
 from cairn.plans.shared import written
 
-#: Ids of a shard, terms of a query (its rarest), and neighbours that one query returns.
-SHARD_IDS, QUERY_TERMS, NEIGHBOURS = 2_000_000, 24, 16
+#: Ids of a shard, and neighbours that one query returns.
+SHARD_IDS, NEIGHBOURS = 2_000_000, 16
 K1, B = 1.2, 0.75
 
 
@@ -79,18 +80,22 @@ def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, fil
     pairs, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), lens) * len(idf) + np.concatenate(docs), return_counts=True)
     row, term = np.divmod(pairs, len(idf))
     weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[row] / mean))).astype(np.float32)
-    rarest = np.lexsort((term, -idf[term], row))
     first = np.searchsorted(row, np.arange(n + 1))
     by_term = np.argsort(term, kind="stable")
-    post_row, post_weight = row[by_term].astype(np.int32), weight[by_term]
+    post_row, post_weight = row[by_term], weight[by_term].astype(np.float64)  # as bincount takes them, without a copy
     starts = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
     unused = np.ones(n, bool)
     out: list[int] = []
     nxt = 0
+    held = n  # documents with postings
 
     def neighbours(seed: int) -> np.ndarray:
-        terms = term[rarest[first[seed] : min(first[seed] + QUERY_TERMS, first[seed + 1])]]
-        spans = [slice(starts[t], starts[t + 1]) for t in terms]
+        nonlocal post_row, post_weight, starts, held
+        if n - len(out) <= held * 3 // 4:  # so that used documents' postings are read no more
+            keep = unused[post_row]
+            starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+            post_row, post_weight, held = post_row[keep], post_weight[keep], n - len(out)
+        spans = [slice(starts[t], starts[t + 1]) for t in term[first[seed] : first[seed + 1]]]
         score = np.bincount(np.concatenate([post_row[s] for s in spans]), np.concatenate([post_weight[s] for s in spans]), n)
         score *= unused
         k = min(NEIGHBOURS, n)

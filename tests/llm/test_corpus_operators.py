@@ -262,6 +262,20 @@ def test_packing_puts_like_with_like():
     assert sorted(at) == list(range(80)) and sum(a % 4 == b % 4 for a, b in zip(at, at[1:])) > 60
 
 
+def test_packing_scores_all_terms_of_long_seeds():
+    rng = np.random.default_rng(1)
+    # 300 ids that only the document has are rarer than the 400 of its topic
+    docs = [np.concatenate([rng.permutation(500)[:400] + 500 * (i % 4), np.arange(300) + 2000 + 300 * i]) for i in range(40)]
+    df = np.bincount(np.concatenate(docs), minlength=2000 + 300 * 40)
+    idf = np.log1p((40 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    at = packing.order(docs, idf, 700, 2501)  # no window ends with a document
+    assert sorted(at) == list(range(40)) and sum(a % 4 == b % 4 for a, b in zip(at, at[1:])) >= 36
+    # each window's first neighbour is the best of all that are unused, by BM25 of the whole seed
+    sets, left = [set(d.tolist()) for d in docs], set(range(40)) - {at[0]}
+    score = lambda q, d: sum(float(idf[t]) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(docs[d]) / 700)) for t in sets[q] & sets[d])
+    assert abs(score(at[0], at[1]) - max(score(at[0], d) for d in left)) < 1e-3
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 11, 16, 17, 20, 32])
 def test_bit_packing_round_trip(bits, tmp_path):
     from pyarrow import fs
