@@ -362,7 +362,14 @@ select v as fn, (1.0 + max(k))::double as depth from chain group by v""".strip()
 def call_depth(spark, sf_dir):
     n = ir.from_lines(spark, sf_dir)
     f = _functions(n)
-    return scope.call_depth(scope.call_edges(n, f).where("callee_fn > fn"), f)
+    return scope.call_depth(scope.call_edges(n, f).where("callee_fn > fn"), f)  # as its SQL, which can't take cycles; call_depth_all takes every edge
+
+
+@register()
+def call_depth_all(spark, sf_dir):
+    n = ir.from_lines(spark, sf_dir)
+    f = _functions(n)
+    return scope.call_depth(scope.call_edges(n, f), f)
 
 
 @register(o.q(o.ALL + o.LINE, "select fn, count(*) as size, round(avg(case when tier = 2 then 1.0 else 0.0 end), 6) as boundary_density from lined group by fn"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import queries
 from cairn.functions import paths, text
 from cairn.model import INSTRUMENTS
 from cairn.operators import kernel, mutation, panel, scope, stats
@@ -95,6 +96,36 @@ def test_call_depth_with_cycles(spark):
     assert {r.fn: r.depth for r in scope._packed_depth(e, fns, "file").collect()} == want
 
 
+def test_call_depth_query_takes_every_edge(spark):
+    sf = "/root/testdata/sf0.001"
+    n = ir.from_lines(spark, sf)
+    calls = {}
+    for r in scope.call_edges(n, queries._functions(n)).collect():
+        calls.setdefault(r.fn, set()).add(r.callee_fn)
+    assert any(b < a for a, to in calls.items() for b in to)
+
+    def reached(v):
+        seen, todo = {v}, [v]
+        while todo:
+            new = calls.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    reach = {v: reached(v) for v in calls}
+    cycle = {v: frozenset(w for w in reach[v] if v in reach.get(w, ())) | {v} for v in calls}
+    known = {}
+
+    def depth(v):
+        c = cycle.get(v, {v})
+        if (key := min(c)) not in known:
+            known[key] = 1 + max((depth(w) for u in c for w in calls.get(u, set()) - c), default=0)
+        return known[key]
+
+    got = {r.fn: r.depth for r in queries.QUERIES["call_depth_all"](spark, sf).collect()}
+    assert len(got) > len(calls) and got == {v: depth(v) for v in got}
+
+
 def test_hub_outranks_its_wrappers(spark):
     names = ["hub", "helper", "w1", "w2", "w3", "l1", "l2"]
     fns = spark.createDataFrame([(i, "hub.py" if i < 2 else f"{n}.py", n) for i, n in enumerate(names)], "fn long, file string, name string")
