@@ -634,7 +634,7 @@ def adoption(spark, sf_dir):
 @register()
 def bootstrap(spark, sf_dir):
     c = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("v"), F.count("*").alias("w"))
-    return stats.bootstrap(c, "v", "w", "l_suppkey", draws=200)
+    return stats.bootstrap(c, "v", "w", "l_suppkey", draws=4000)
 
 
 @register("select user_id, round(avg(value), 5) as leverage, round(avg(case when event_type <> 'error' then value end), 5) as leverage_no_delete, count(*) as mutants, array_to_string(list_sort(list(distinct replace(event_type, 'error', 'delete'))), ',') as kinds from events group by user_id")

@@ -173,6 +173,12 @@ def test_bootstrap_interval(spark):
     assert r.low < r["mean"] < r.high and r["mean"] == pytest.approx(1.2) and r.p == pytest.approx(1 / 300)
 
 
+def test_bootstrap_query_draws_as_often_as_the_reference(spark):
+    r = queries.QUERIES["bootstrap"](spark, "/root/testdata/sf0.001").collect()[0]
+    assert r.low <= r.mean <= r.high and (r.p == 1 / 4000 or r.p * 2000 == pytest.approx(round(r.p * 2000)) and r.p > 1 / 4000)
+    assert r.p < 1 / 200  # what 200 draws can't go below
+
+
 def test_paths(spark):
     cases = [("src/a.py", "python", False, False), ("tests/a.py", "python", True, False), ("src/test_a.py", "python", True, False), ("a/node_modules/b.ts", "javascript", False, True), ("x/__tests__/b.tsx", "javascript", True, False), ("b.spec.ts", "javascript", True, False), ("benches/b.rs", "rust", True, False), ("OrderTest.java", "java", True, False), ("a_test.go", "go", True, False), (".git/x.py", "python", False, True), ("README", None, False, False), ("x.txt", None, False, False)]
     d = spark.createDataFrame([(c[0],) for c in cases], "path string")
