@@ -1,13 +1,18 @@
 """Packing of documents into training sequences by lexical retrieval.
 
 The documents' ids are written once, with the number of documents that hold each id, which is at
-most one number an id of the vocabulary. Every task then cuts its rows into shards of a bounded
+most one number an id of the vocabulary. Documents are then brought together by what they hold: a
+range shuffle orders all of them by their three rarest ids that another document holds too, so that
+like documents meet whatever file they come from; rows with equal keys are parted by a row number,
+so no group of copies is bound to one task. Every task cuts its range into shards of a bounded
 number of ids, each with a BM25 inverted index over its own documents but weighted by the counts
 and the mean length over all documents. A window is filled from a seed: the rest of the document
 that the last window cut, or the next unused one. Queried with all distinct ids of the seed, the
 index returns its unused neighbours, best first, which fill the window; the last is cut, and its
 rest seeds the next window.
-Where the index knows no unused neighbour, the next unused document follows, so all are packed.
+Where the index knows no unused neighbour, the next unused document in the same order follows, so
+all are packed. A seed's neighbours are those of its shard: the search is exact there, and the order
+by rarest ids decides which documents these are.
 
 Windows run on over a task's shards. At a task's end the ids left over make sequences with lengths
 that are powers of two, which need no padding.
@@ -32,8 +37,10 @@ from cairn.llm.common import let_go, ready, slices, text_of
 from cairn.llm.tokens import encoder
 from cairn.plans.shared import written
 
-#: Ids of a shard, and neighbours that one query returns.
+#: Ids of a shard, and neighbours that one query returns (a seed that needs more is queried again).
 SHARD_IDS, NEIGHBOURS = 2_000_000, 16
+#: Ranges are of two shards' ids, until there are so many of them.
+RANGES = 50_000
 K1, B = 1.2, 0.75
 
 
@@ -74,6 +81,34 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """Of each id its rank by the documents that hold it, from the rarest up; ids of one document come last, as nothing shares them."""
+    out = np.zeros(len(df), np.int32)
+    out[np.lexsort((np.arange(len(df)), np.where(df < 2, np.inf, df)))] = np.arange(len(df), dtype=np.int32)
+    return out
+
+
+def rarest(flat: np.ndarray, ends: np.ndarray, rank: np.ndarray, keys: int = 3) -> list[np.ndarray]:
+    """The ranks of each document's rarest distinct ids, ascending; a document with fewer repeats a value past all ranks."""
+    past = np.int32(len(rank))
+    r = rank[flat]
+    starts, lens = ends[:-1], np.diff(ends)
+    out = []
+    for k in range(keys):
+        out.append(np.minimum.reduceat(r, starts))
+        if k + 1 < keys:
+            r[r == np.repeat(out[-1], lens)] = past
+    return out
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray, width: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, ids, n) with the keys that bring like documents together."""
+    for b in slices(batches, "ids"):
+        ids, n = b.column("ids"), b.column("n").to_numpy()
+        keys = rarest(np.frombuffer(b"".join(ids.to_pylist()), width), np.concatenate([[0], np.cumsum(n)]), rank)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, *(pa.array(k) for k in keys)], ["doc_id", "ids", "k0", "k1", "k2"])
+
+
 def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, filled: int = 0) -> list[int]:
     """The order in which a shard's documents follow each other; ``filled``: ids in the window so far."""
     n, lens = len(docs), np.array([len(d) for d in docs])
@@ -200,12 +235,17 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, wind
     ready(spark)
     encoded = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(partial(_encode, path=tokenizer, kind=kind, end=end, names=(id_col, text_col)), "doc_id long, ids binary, n long, df binary")
     ids = written(spark, encoded, "pack-ids")
-    rows = ids.where("n >= 0").select("doc_id", "ids")
+    rows = ids.where("n >= 0").select("doc_id", "ids", "n")
     total, tokens = ids.where("n >= 0").agg(F.count("*"), F.sum("n")).first()
     counts = ids.where("n < 0").select("df").mapInArrow(_document_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row an id of the vocabulary
-    df = np.zeros(max([r["id"] for r in counts], default=0) + 1)
+    size = Tokenizer.from_file(tokenizer).get_vocab_size() + 1
+    df = np.zeros(size)
     for r in counts:
         df[r["id"]] = r["n"]
-    width = id_type(Tokenizer.from_file(tokenizer).get_vocab_size() + 1)
+    width = id_type(size)
     idf = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32)
-    return rows.mapInArrow(partial(_pack, idf=idf, mean=(tokens or 0) / max(total, 1), window=window, shard_ids=shard_ids, width=width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    keyed = rows.mapInArrow(partial(_keyed, rank=rarity(df), width=width), "doc_id long, ids binary, k0 int, k1 int, k2 int")
+    by = ["k0", "k1", "k2", "tag"]
+    ranges = min((tokens or 0) // (2 * shard_ids) + 1, RANGES)
+    ranged = keyed.withColumn("tag", F.monotonically_increasing_id()).repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("doc_id", "ids")
+    return ranged.mapInArrow(partial(_pack, idf=idf, mean=(tokens or 0) / max(total, 1), window=window, shard_ids=shard_ids, width=width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -276,6 +276,34 @@ def test_packing_scores_all_terms_of_long_seeds():
     assert abs(score(at[0], at[1]) - max(score(at[0], d) for d in left)) < 1e-3
 
 
+def test_packing_brings_copies_together_from_far_apart(spark):
+    """Near copies lie in different files and thousands of rows apart; a hot text is a third of all rows."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(7)) for _ in range(6000)]
+    base = [[rng.choice(vocab) for _ in range(60)] for _ in range(300)]
+    late = [[rng.choice(vocab) if rng.random() < 0.05 else w for w in t] for t in base]
+    rows_ = [(i, " ".join(t)) for i, t in enumerate(base)] + [(1000 + i, "one hot text of many rows") for i in range(300)] + [(5000 + i, " ".join(t)) for i, t in enumerate(late)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    got = packing.pack(d, P.path("word_bpe_49k.json"), window=256, shard_ids=4000).collect()
+    assert sum(r.length for r in got if r.start == 0) > 0 and len({r.doc_id for r in got}) == 900
+    place = defaultdict(list)
+    for r in got:
+        place[r.doc_id].append(r.sequence_id * 256 + r.offset)
+    near = sum(min(abs(a - b) for a in place[i] for b in place[5000 + i]) < 3 * 256 for i in range(300))
+    assert near > 200  # by the order of the files it would be none
+
+
+def test_rarest_ids_match_brute_force():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 50, n) for n in (1, 2, 7, 30, 3)]
+    df = rng.integers(0, 9, 50)
+    rank = packing.rarity(df)
+    assert sorted(rank.tolist()) == list(range(50)) and all(rank[a] < rank[b] for a in range(50) for b in range(50) if 2 <= df[a] < df[b] or df[a] >= 2 > df[b])
+    got = packing.rarest(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]), rank)
+    for i, d in enumerate(docs):
+        assert [int(k[i]) for k in got] == (sorted(set(rank[d].tolist())) + [50] * 3)[:3]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 11, 16, 17, 20, 32])
 def test_bit_packing_round_trip(bits, tmp_path):
     from pyarrow import fs
