@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.plans.shared import ship_package
+from cairn.plans.shared import ship_package, written
 
 #: White space of the corpus contracts, as bytes.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -112,6 +112,29 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
+def by_id(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` in two: the rows whose id no other has, and the others (null ids too), and the name of a column of
+    theirs that numbers them.
+
+    Only the others are written, so a table without repeated ids isn't copied. No column's type matters.
+    """
+    spark = docs.sparkSession
+    own, tag = fresh(docs.columns, "id"), fresh(docs.columns, "tag")
+    key = F.col(f"`{id_col}`")
+    repeated = written(spark, docs.groupBy(key.alias(own)).agg(F.count("*").alias("n")).where("n > 1 or " + own + " is null").select(own), "repeated")  # of known size: no shuffle of all rows where it is small
+    once = docs.where(key.isNotNull()).join(repeated, key == F.col(own), "left_anti")
+    some = docs.join(repeated.where(F.col(own).isNotNull()), key == F.col(own), "left_semi").unionByName(docs.where(key.isNull()))
+    return once, written(spark, some.withColumn(tag, F.monotonically_increasing_id()), "repeated-rows"), tag
+
+
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
     """``rows`` joined with the one row that ``groups`` has for each key, whatever the skew.
 

@@ -34,7 +34,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): of each node in ``edges`` (a, b: long), the least node of its component.
 
     Alternates large and small stars (each node hands its larger or smaller neighbours to the least
@@ -45,7 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ready(spark)
     e = written(spark, edges.where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
     state = None
-    for _ in range(rounds):
+    while True:  # about the logarithm of the longest chain
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b")
@@ -58,4 +58,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
         state = now
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")

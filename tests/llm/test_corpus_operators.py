@@ -148,9 +148,9 @@ def brute_components(src):
     return Counter((r.doc_id, len(sets[i]), least.get(find(i))) for i, r in enumerate(src))
 
 
-@pytest.mark.parametrize("block", [4000, 2])
-def test_near_groups_match_brute_force(docs, block):
-    got = Counter(rows(neardup.near_groups(docs, block=block), "doc_id", "n_shingles", "component_id"))
+@pytest.mark.parametrize("block,short", [(4000, 32), (2, 32), (4000, 0), (3, 10**6)])
+def test_near_groups_match_brute_force(docs, block, short):
+    got = Counter(rows(neardup.near_groups(docs, block=block, short=short), "doc_id", "n_shingles", "component_id"))
     assert got == brute_components(docs.collect())
 
 
