@@ -1,17 +1,21 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
 Every text, without the characters of ``[\\x20\\x09-\\x0D]``, gets a 64-bit key, its SHA-256 and its
-length. Copies are first collapsed by a partial aggregation, so that a text of a third of all rows
-is still one entry a task. The keys' upper bits name the owner task of an entry; owners put their
-entries into an extendible-hash index (a directory over buckets of a bounded size; an overfull
-bucket splits, which doubles the directory when their depths are equal) and write it as one file.
-Rows then look their texts up in those files. As the files are shared, rows of one owner needn't
-stay in one task, and the hot ones are rebalanced over several. Entries with the same key chain in
-their bucket and are told apart by their bytes: the 32 of SHA-256 and the length.
+length. Tasks first collapse the copies among the texts that they hold together, comparing bytes, so
+that a text of a third of all rows is one entry for so many megabytes. The keys' upper bits name the
+owner task of an entry. Owners insert the entries, with the packed bytes of their texts, into an
+extendible-hash index: a directory over buckets of a bounded size, in which an overfull bucket splits,
+and the directory doubles when their depths are equal. Entries with the same key chain in their
+bucket; one whose bytes are those of a chained entry is added to it, which counts its rows and knows
+the best of them. So the chains hold the result, and owners write them, without the texts, as one file
+each. Rows then look their texts up in those files, in the chain of their key by SHA-256 and length,
+which owners have checked to be different for different bytes. As the files are shared, rows of one
+owner needn't stay in one task, and the hot ones are rebalanced over several.
 
 Null counts as empty; empty texts are copies of each other. Of equal texts the row with the most
 code points in the original stays, then that of the smallest doc_id (null last); of rows repeated
-with both the same, one. An empty table gives no rows. Other columns of the input play no part.
+with both the same, one. An empty table gives no rows. Other columns of the input play no part,
+whatever their names and types.
 """
 
 from __future__ import annotations
@@ -24,15 +28,16 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cairn.llm.common import SPACE, ready, slices, text_of
+from cairn.llm.common import SPACE, by_id, fresh, join_hot, ready, slices, text_of
 from cairn.plans.shared import filesystem, shared_path, written
 
-#: Entries of a bucket before it splits, and about so many of an owner.
-BUCKET, OWNER = 32, 200_000
+#: Entries of a bucket before it splits; about so many entries and packed bytes of an owner; bytes that a task collapses together.
+BUCKET, OWNER, OWNER_BYTES, TOGETHER = 32, 200_000, 64 << 20, 16 << 20
 ENTRY = np.dtype([("h", "<u8"), ("sha", "V32"), ("n_bytes", "<i8"), ("tag", "<i8"), ("keep", "<i8"), ("known", "?"), ("n", "<i8")])
 
 
@@ -44,6 +49,11 @@ class ExtendibleIndex:
         self.buckets: list[tuple[int, list[int], list[int]]] = [(0, [], [])]  # depth, keys, entries
         self.directory = [0]
 
+    def chain(self, key: int) -> list[int]:
+        """The entries with this key."""
+        _, keys, entries = self.buckets[self.directory[key & ((1 << self.depth) - 1)]]
+        return [e for k, e in zip(keys, entries) if k == key]
+
     def insert(self, key: int, entry: int) -> None:
         while True:
             at = self.directory[key & ((1 << self.depth) - 1)]
@@ -104,50 +114,108 @@ class StoredIndex:
         return found
 
 
+class Chains:
+    """Texts in an extendible-hash index; equal ones are one entry, which counts their rows and knows the best of them."""
+
+    def __init__(self):
+        self.index = ExtendibleIndex()
+        self.packed: list[bytes] = []
+        self.digests: list[tuple[bytes, int]] = []  # SHA-256, length
+        self.keys: list[int] = []
+        self.n: list[int] = []
+        self.best: list[tuple] = []  # fewer code points (negative), null id, id, tag
+
+    def add(self, key: int, sha: bytes, n_bytes: int, packed: bytes, n: int, best: tuple) -> None:
+        for e in self.index.chain(key):
+            if self._same(e, sha, n_bytes, packed):
+                self.n[e] += n
+                self.best[e] = min(self.best[e], best)
+                return
+        self.index.insert(key, len(self.keys))
+        self.keys.append(key)
+        self.digests.append((sha, n_bytes))
+        self.packed.append(packed)
+        self.n.append(n)
+        self.best.append(best)
+
+    def _same(self, e: int, sha: bytes, n_bytes: int, packed: bytes) -> bool:
+        if self.packed[e] == packed:
+            return True
+        if self.digests[e] != (sha, n_bytes):
+            return False
+        unpack = zstandard.ZstdDecompressor().decompress  # other bytes may still be the same text's, packed elsewhere
+        if unpack(self.packed[e]) != unpack(packed):
+            raise RuntimeError("two texts have the same SHA-256 and length")
+        return True
+
+    def entries(self) -> np.ndarray:
+        out = np.zeros(len(self.keys), ENTRY)
+        out["h"] = np.array(self.keys, np.uint64)
+        out["sha"] = np.frombuffer(b"".join(s for s, _ in self.digests), "V32")
+        out["n_bytes"] = [n for _, n in self.digests]
+        out["n"] = self.n
+        out["known"] = [not b[1] for b in self.best]
+        out["keep"] = [b[2] for b in self.best]
+        out["tag"] = [b[3] for b in self.best]
+        return out
+
+
+_ROWS = "doc_id long, tag long, h long, sha binary, n_bytes long, n long, best_chars long, best_id long, best_tag long, packed binary"
+
+
 def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    """A row a document: its key, digest and length. The first of equal texts among those that the task holds
+    together has the number and the best of them too, and the packed bytes."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    mask = (1 << width) - 1
+    for b in slices(batches, most=TOGETHER):
         text = pc.fill_null(text_of(b.column("text")), "")
-        bare = [x.translate(None, SPACE) for x in text.cast(pa.binary()).to_pylist()]
-        h = np.array([xxh64_intdigest(x) for x in bare], dtype=np.uint64)
-        if width < 64:
-            h &= np.uint64((1 << width) - 1)
+        chars, ids, tags = pc.utf8_length(text).to_pylist(), b.column("doc_id").to_pylist(), b.column("tag").to_pylist()
+        first: dict[bytes, int] = {}
+        of, best, n = [], [], [0] * b.num_rows
+        for i, x in enumerate(text.cast(pa.binary()).to_pylist()):
+            at = first.setdefault(x.translate(None, SPACE), i)  # compares bytes
+            of.append(at)
+            n[at] += 1
+            best.append((-chars[i], ids[i] is None, ids[i] or 0, tags[i]))
+            if at != i:
+                best[at] = min(best[at], best[i])
+        known = {i: (xxh64_intdigest(x) & mask, sha256(x).digest(), len(x), pack(x)) for x, i in first.items()}
+        h = np.array([known[i][0] for i in of], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("tag"), pc.utf8_length(text).cast(pa.int64()), pa.array(h.view(np.int64)), pa.array([sha256(x).digest() for x in bare], pa.binary()), pa.array([len(x) for x in bare], pa.int64())],
-            ["doc_id", "tag", "n_chars", "h", "sha", "n_bytes"],
-        )
+            [
+                b.column("doc_id"), b.column("tag"), pa.array(h), pa.array([known[i][1] for i in of], pa.binary()), pa.array([known[i][2] for i in of], pa.int64()),
+                pa.array(n, pa.int64()), pa.array([x[0] for x in best], pa.int64()), pa.array([None if x[1] else x[2] for x in best], pa.int64()), pa.array([x[3] for x in best], pa.int64()),
+                pa.array([known[i][3] if i in known else None for i in range(b.num_rows)], pa.binary()),
+            ],
+            [c.split()[0] for c in _ROWS.split(", ")],
+        )
 
 
 def _build(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Inserts the entries of each owner, whose rows follow each other, and writes its file."""
     files, root = filesystem(path)
     files.create_dir(root, recursive=True)
 
-    def store(owner: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        entries = np.zeros(t.num_rows, ENTRY)
-        entries["h"] = t["h"].to_numpy().view(np.uint64)
-        entries["sha"] = np.frombuffer(b"".join(t["sha"].to_pylist()), "V32")
-        entries["known"] = t["keep"].is_valid().to_numpy()
-        entries["keep"] = t["keep"].fill_null(0).to_numpy()
-        for c in ("n_bytes", "tag", "n"):
-            entries[c] = t[c].to_numpy()
-        index = ExtendibleIndex()
-        for i, k in enumerate(entries["h"].tolist()):
-            index.insert(k, i)
+    def store(owner: int, chains: Chains) -> pa.RecordBatch:
         with files.open_output_stream(f"{root}/owner-{owner:08d}.ehx") as out:
-            out.write(index.tobytes(entries))
-        return pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([len(entries)], pa.int64())], ["owner", "n"])
+            out.write(chains.index.tobytes(chains.entries()))
+        return pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([len(chains.keys)], pa.int64())], ["owner", "n"])
 
-    last, parts = None, []
+    last, chains = None, Chains()
     for b in batches:
         owners = b.column("owner").to_numpy()
+        keys = b.column("h").to_numpy().view(np.uint64).tolist()
+        cols = [b.column(c).to_pylist() for c in ("sha", "n_bytes", "packed", "n", "best_chars", "best_id", "best_tag")]
         for lo, hi in _runs(owners):
-            if owners[lo] != last and parts:
-                yield store(int(last), parts)
-                parts = []
+            if owners[lo] != last and last is not None:
+                yield store(int(last), chains)
+                chains = Chains()
             last = owners[lo]
-            parts.append(b.slice(lo, hi - lo))
-    if parts:
-        yield store(int(last), parts)
+            for k, sha, n_bytes, packed, n, c, i, t in zip(keys[lo:hi], *(x[lo:hi] for x in cols)):
+                chains.add(k, sha, n_bytes, packed, n, (c, i is None, i or 0, t))
+    if last is not None:
+        yield store(int(last), chains)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -190,13 +258,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ready(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("tag"))
-    keys = written(spark, rows.mapInArrow(partial(_keys, width=key_bits), "doc_id long, tag long, n_chars long, h long, sha binary, n_bytes long"), "exact-keys")
-    bits = max(3, (keys.count() // OWNER).bit_length())
+    keys = written(spark, rows.mapInArrow(partial(_keys, width=key_bits), _ROWS), "exact-keys")
+    entries = keys.where("packed is not null")
+    n, size = entries.agg(F.count("*"), F.sum(F.octet_length("packed"))).first()
+    bits = max(3, (n // OWNER).bit_length(), ((size or 0) // OWNER_BYTES).bit_length())
     owner = F.shiftrightunsigned("h", max(key_bits - bits, 0)).cast("long").alias("owner")
-    best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("u"), "doc_id", "tag")).alias("best")
-    groups = keys.groupBy("h", "sha", "n_bytes").agg(F.count("*").alias("n"), best).select(owner, "h", "sha", "n_bytes", F.col("best.tag").alias("tag"), F.col("best.doc_id").alias("keep"), "n")
     path = shared_path(spark, "exact-index")
-    groups.repartition(1 << bits, "owner").sortWithinPartitions("owner").mapInArrow(partial(_build, path=path), "owner long, n long").agg(F.sum("n")).collect()
+    sent = entries.select(owner, "h", "sha", "n_bytes", "n", "best_chars", "best_id", "best_tag", "packed")
+    sent.repartition(1 << bits, "owner").sortWithinPartitions("owner").mapInArrow(partial(_build, path=path), "owner long, n long").agg(F.sum("n")).collect()
+    keys = keys.select("doc_id", "tag", "h", "sha", "n_bytes")
     spread = spark.sql("SELECT /*+ REBALANCE(owner) */ * FROM {k}", k=keys.select("*", owner))
     return spread.mapInArrow(partial(_look_up, path=path), "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
 
@@ -209,16 +279,17 @@ def bare_sha(text) -> "F.Column":
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that copy one that stays; columns and kept rows as they were.
 
-    Rows are found again by their ids, which grow with the documents and are never broadcast. Only where an id is on several rows is the text's hash looked
-    at too, and rows that repeat both are collapsed by a partial aggregation.
+    Rows are found again by their ids, which grow with the documents and are never broadcast. Rows that
+    share an id, or have none, are written with a number and told apart by their texts too.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    kept = written(docs.sparkSession, kept, "exact-kept")
-    repeated = written(docs.sparkSession, docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"), "repeated")  # of known size: no shuffle of all texts where it is small
-    is_kept, is_repeated = F.col(id_col).eqNullSafe(F.col("_kept_id")), F.col(id_col).eqNullSafe(F.col("_id"))
-    once = docs.join(kept.hint("merge"), is_kept, "left_semi").join(repeated, is_repeated, "left_anti")
-    some = docs.join(repeated, is_repeated, "left_semi").withColumn("_sha", bare_sha(F.col(text_col))).withColumn("_size", -F.coalesce(F.length(text_col), F.lit(0)))
-    some = some.join(kept, is_kept & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    row = F.struct("_size", *(F.col(f"`{c}`") for c in docs.columns))
-    best = some.groupBy(F.col(id_col).alias("_id"), F.col("_sha").alias("_key")).agg(F.min(row).alias("_best")).select("_best.*").drop("_size")
-    return once.unionByName(best)
+    spark = docs.sparkSession
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    groups = exact_groups(docs, id_col, text_col).where("kept").select("keep_id", F.col("text_sha256").alias("sha"), "group_size")
+    groups = written(spark, groups, "exact-kept")
+    once, some, tag = by_id(docs, id_col)
+    key = fresh(docs.columns, "kept")
+    stay = once.join(groups.where("keep_id is not null").select(F.col("keep_id").alias(key)).hint("merge"), id_.cast("long") == F.col(key), "left_semi")
+    own = written(spark, some.select(F.col(tag).alias("tag"), id_.cast("long").alias("id"), bare_sha(text).alias("sha"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars")), "exact-repeated")
+    placed = join_hot(own, groups, "sha", "group_size", own.count()).where("id <=> keep_id")
+    chosen = placed.groupBy("sha").agg(F.min(F.struct(-F.col("n_chars"), "tag")).alias("m")).select(F.col("m.tag").alias(key))
+    return stay.unionByName(some.join(written(spark, chosen, "exact-chosen"), F.col(tag) == F.col(key), "left_semi").drop(tag))

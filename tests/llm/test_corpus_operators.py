@@ -95,6 +95,19 @@ def test_extendible_index_splits_and_finds():
     assert (s.find(e["h"], e["sha"], e["n_bytes"] + n) == -1).all()
 
 
+def test_chains_compare_bytes():
+    import zstandard
+
+    c = exactdup.Chains()
+    pack = [zstandard.ZstdCompressor(level=k).compress for k in (1, 9)]
+    texts_ = [b"a" * 50, b"b" * 50, b"a" * 50, b"c" * 50, b"b" * 50, b"a" * 50]
+    for i, t in enumerate(texts_):  # one key for all; the same bytes may be packed in two ways
+        c.add(7, sha256(t).digest(), len(t), pack[i % 2](t), 2, (-50 - i, False, i, i))
+    assert c.n == [6, 4, 2] and [b[2] for b in c.best] == [5, 4, 3] and len(c.index.chain(7)) == 3 and c.index.chain(8) == []
+    with pytest.raises(RuntimeError):
+        c.add(7, sha256(b"a" * 50).digest(), 50, pack[0](b"z" * 50), 1, (0, False, 9, 9))
+
+
 def test_exact_dedup_keeps_rows_whole(docs, nothing):
     got = exactdup.exact_dedup(docs)
     assert got.columns == docs.columns
@@ -304,6 +317,60 @@ def test_rarest_ids_match_brute_force():
         assert [int(k[i]) for k in got] == (sorted(set(rank[d].tolist())) + [50] * 3)[:3]
 
 
+ODD = ("_id", "id", "_tag", "tag", "_kept", "kept", "_kept_id", "_kept_sha", "_sha", "_size", "sha", "_s", "_n", "_cut", "_whole", "_copy", "h", "k", "n", "target", "source_size", "component_id", "set_key", "root", "_key", "_C")
+
+
+@pytest.fixture(scope="session")
+def odd(spark, docs):
+    """Columns with the names that operators might use themselves, and of types that can't be compared."""
+    out = docs.drop("size", "node", "label")
+    for c in ODD:
+        out = out.withColumn(c, F.lit("x"))
+    out = out.withColumn("a.b", F.create_map(F.lit("k"), F.lit(1))).withColumn("m", F.create_map(F.lit("k"), F.array(F.lit(1)))).withColumn("s", F.struct(F.lit(1).alias("a"), F.create_map(F.lit(1), F.lit(2)).alias("b"))).withColumn("v", F.array(F.lit(None).cast("double")))
+    return out
+
+
+@pytest.mark.parametrize("stage", [exactdup.exact_dedup, neardup.near_dedup, mixing.mixed])
+def test_rows_keep_odd_columns(docs, odd, stage):
+    got, plain = stage(odd), stage(docs)
+    assert got.columns == odd.columns and got.schema.simpleString() == odd.schema.simpleString()
+    same = lambda df: Counter((r.doc_id, bare(r.text), r.source) for r in df.select("doc_id", "text", "source").collect())
+    assert same(got) == same(plain)
+
+
+def test_unlinked_families_cost_no_pairs(spark, monkeypatch):
+    """Pages of a template at an index of about 0.66: what is compared grows as they do, not as their pairs."""
+    seen = {}
+
+    def count(s, df, name, real=neardup.written):
+        out = real(s, df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "written", count)
+    for m in (200, 800):
+        rng = random.Random(m)
+        family = [" ".join([f"t{i}" for i in range(100)] + [f"w{rng.randrange(10**7)}" for _ in range(26)]) for _ in range(m)]
+        seen.clear()
+        assert neardup.near_groups(spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")).where("kept").count() == m
+        assert seen["near-cross"] <= m and seen["near-likely"] <= 8 * m and seen["near-posts"] <= 30 * m
+
+
+def test_near_dedup_on_repeated_ids(spark):
+    """Of rows that share an id and a component one stays; of null ids too; the least id's row is never lost."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(1, a), (1, a + " x"), (2, a), (3, b), (None, b + " y"), (None, "only nulls here now"), (None, "only nulls here now"), (4, ""), (4, ""), (None, None)]
+    got = neardup.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, (r.text or "")[:2]) for r in got) == Counter({(1, "a0"): 1, (3, "b0"): 1, (None, "on"): 1, (4, ""): 2, (None, ""): 1})
+
+
+def test_band_widths_follow_the_threshold():
+    assert neardup.band_rows(75, 128) == 4 and abs(neardup.least_agreement(75, 128) - 0.55) < 0.002
+    for percent in (50, 60, 75, 85, 95):
+        r = neardup.band_rows(percent, 128)
+        assert (1 - (percent / 100) ** r) ** (128 // r) <= 1e-5
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 11, 16, 17, 20, 32])
 def test_bit_packing_round_trip(bits, tmp_path):
     from pyarrow import fs
