@@ -72,10 +72,16 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE: dict[str, str] = {
     "op2_mixing": f"""
-with d as (
-  select doc_id, source, {_WORDS}::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17'), 1, 13))::bigint as h
+with r as (
+  select doc_id, source, {_WORDS}::bigint as size, count(*) over (partition by doc_id) as same_id,
+         md5(coalesce(doc_id::varchar, '') || ':17:' || coalesce(source, '') || ':' || md5(coalesce(text, ''))) as k
   from documents
+), n as (
+  select *, row_number() over (partition by k) as j from r
+), d as (
+  select doc_id, source, size,
+         ('0x' || substr(case when doc_id is not null and same_id = 1 then md5(doc_id::varchar || ':17') else md5(k || ':' || j::varchar) end, 1, 13))::bigint as h
+  from n
 ), s0 as (
   select source, sum(size)::bigint as source_size from d group by source
 ), s1 as (

@@ -433,6 +433,27 @@ def test_mixing_meets_targets(docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+def test_mixing_meets_targets_without_ids(spark):
+    """Half of the ids are null, some repeat, and one row is a third of all: each source is within a document of its target."""
+    rng = random.Random(4)
+    data = [(None if i % 2 else i % 150, " ".join(["w"] * rng.randint(1, 9)), "abc"[i % 3]) for i in range(600)] + [(None, "same same same", "a")] * 300
+    d = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(d).collect()
+    taken, size, target = Counter(), Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        size[r.source_size] += r.size
+        target[r.source_size] = r.target
+    assert len(size) == 3 and all(size[s] == s and abs(taken[s] - target[s]) <= 9 for s in size)
+    again = mixing.mix(d.repartition(2)).collect()
+    assert Counter(map(str, got)) == Counter(map(str, again))
+    back = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed(d).collect())
+    words_ = Counter()
+    for (_, t, s), n in back.items():
+        words_[s] += n * len(t.split())
+    assert sorted(words_.values()) == sorted(taken.values())
+
+
 # ---- 4: shards
 
 
