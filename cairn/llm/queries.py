@@ -14,8 +14,8 @@ from cairn.llm.common import crc_mod, table
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 3) == 1
-    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
     found = langid.predict(docs, model, spans=False)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -59,8 +59,8 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = crc_mod("doc_id", 5) == 0
-    model = toxicity.train(docs, labels.where(~F.coalesce(held_out, F.lit(True))))
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(docs, labels.where(~held_out))
     return toxicity.score(docs, model, locate=False).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

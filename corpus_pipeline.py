@@ -4,7 +4,8 @@ Every stage works on all rows that the one before kept, as a table written and r
 the last return the columns of ``documents``.
 
 * ``language_id`` drops documents without a language: null texts, texts without letters, and those
-  of which no one language has at least 0.4 of the letters. Its model learns from all labelled rows.
+  with less than 0.4 of their letters in spans of known languages; a text may mix several. Its model
+  learns from all labelled rows.
 * ``exact_dedup`` keeps one document of each group of equal texts.
 * ``near_dedup`` keeps the least doc_id of each group of near-duplicates.
 * ``source_mix`` takes documents towards their source's target; one may be taken twice, as two rows.

@@ -545,6 +545,60 @@ def test_language_of_texts_and_spans(spark, docs, nothing):
     assert kept.columns == docs.columns
 
 
+def test_languages_change_inside_words(spark):
+    """Runs of one script inside a word, and long runs without spaces, get spans of their own."""
+    zh, ja, en = "中文字很多的文章在这里写下来给大家看", "ひらがなでかいたにほんごのぶんしょう", "Hello world of words"
+    data = [(i, t, lang) for i in range(30) for t, lang in ((zh[i % 5 :], "zh"), (ja[i % 5 :], "ja"), (en, "en"))]
+    model = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    text = "  Hello中文字很多的文章 x1"
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame([(1, text), (2, zh + ja), (3, "Helloこ"), (4, "\u4e2d" * 50)], "doc_id long, text string"), model, switch=1.0).collect()}
+    assert [(s.start, s.end, text[s.from_char : s.to_char], s.lang) for s in got[1].spans] == [(0, 1, "Hello", "en"), (0, 1, "中文字很多的文章", "zh"), (1, 2, "x1", "en")]
+    assert [(s.lang, s.from_char, s.to_char) for s in got[2].spans] == [("zh", 0, len(zh)), ("ja", len(zh), len(zh + ja))]
+    assert abs(got[1].score - 8 / 14) < 1e-9 and got[1].lang_pred == "zh" and got[4].score == 1.0
+
+
+def test_runs_cover_words():
+    rng = random.Random(6)
+    t = ["".join(rng.choice("ab1 .\n中文ひдЯéא-") for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", "中" * 30]
+    w = langid.Runs(pa.array(t))
+    places = langid._word_places(pa.array(t))
+    for i, x in enumerate(t):
+        found = WORD.findall(x or "")
+        runs = range(w.offsets[i], w.offsets[i + 1])
+        whole = defaultdict(str)
+        for r in runs:
+            c = w.codes[r]
+            chars = "".join(map(chr, w.points[w.ends[c] + 1 : w.ends[c + 1] - 1]))
+            at = places[w.word[r]] + w.first[c]
+            assert x[at : at + w.size[c]].lower() == chars
+            assert len(set(langid._kinds(np.array([ord(k) for k in chars], np.uint32)).tolist()) - {-1}) <= 1 and w.letters[c] == sum(k.isalpha() for k in chars)
+            whole[w.word[r]] += chars
+        assert [whole[k] for k in sorted(whole)] == [f.lower() for f in found]
+
+
+def test_many_languages(spark):
+    """More languages than a byte holds."""
+    data = [(i, f"q{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}x " * 6, f"l{i:03d}") for i in range(200)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, langid.train(d)).collect()}
+    assert got == {i: f"l{i:03d}" for i in range(200)}
+
+
+def test_mixed_languages_stay(spark):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows_ = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").groupBy("lang").agg(F.first("text").alias("t")).where("lang is not null").collect()
+    d = spark.createDataFrame([(1, " ".join(r.t[:200] for r in rows_)), (2, "123"), (3, "\u0531\u0532\u0533 \u0534\u0535"), (4, None)], "doc_id long, text string")
+    assert [i for (i,) in rows(langid.keep_known(d, model, least=0.4), "doc_id")] == [1]
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")))
+    docs_.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op1_language", "op10_toxicity"):
+        assert {r.held_out for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} == {True, False}
+
+
 def test_viterbi_matches_brute_force():
     from itertools import product
 
