@@ -1,20 +1,22 @@
 """A quality filter by importance resampling.
 
 Two generative models of hashed n-grams, one of target text (documents labelled good) and one of all
-text, give each document a log importance weight: the sum over its n-grams of the logarithm of their
-probabilities' ratio. With Gumbel noise added, the top k are a sample without replacement by those
-weights. The n-grams are words, pairs of words (a word and its own repetition make the same pair,
+text, give each document a log importance weight: the mean over its n-grams of the logarithm of their
+probabilities' ratio, so that long texts aren't weighed by their length. Divided by a temperature and
+with Gumbel noise added, the top k are a sample without replacement by those weights; the temperature
+is so low that only documents near the k-th weight are left to chance. The n-grams are words, pairs of words (a word and its own repetition make the same pair,
 whatever the word), and character trigrams.
 
 The target model is fitted on at most ``fit_rows`` labelled rows, those with the smallest hashes; the
 model of all text counts every document. The k-th key is found by histograms of the keys' bits, never
 by a sort of all. The noise of a document comes from its id, so reruns agree; keys are told apart to a
-millionth. k defaults to the number of documents whose log weight an n-gram is not below a small
-tolerance: those that are about as likely under the target's model.
+millionth. k defaults to the number of documents whose log weight is not below a small tolerance:
+those that are about as likely under the target's model.
 
-Null and empty texts have weight 0. Rows that repeat an id have the same noise; at the last place ties
-are all kept. Null labels are not learnt from; without good labels all weights are 0. An empty table
-gives no rows. Of the input only the id and the text play a part.
+Texts without n-grams (null, empty, white space) have no weight and no key, count for nothing and are
+never kept, not even if k is larger than the number of the others. Rows that repeat an id have the same
+noise; at the last place ties are all kept. Null labels are not learnt from; without good labels all
+weights are 0. An empty table gives no rows. Of the input only the id and the text play a part.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from cairn.plans.shared import written
 FIT_ROWS, BITS = 20_000, 13
 #: Weight of all text in the target's model, as a share of the target's counts; log weight an n-gram that a kept document may lack.
 PRIOR, TOLERANCE = 1.0, 0.02
+#: Log weight an n-gram that counts as one unit of the noise.
+TEMPERATURE = 0.004
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
 def _weigh(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         g = Grams(text_of(b.column("text")), bits)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(g.sums(table, b.num_rows)), pa.array(g.sizes(b.num_rows))], ["doc_id", "log_weight", "n_grams"])
+        n = g.sizes(b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(g.sums(table, b.num_rows) / np.maximum(n, 1), mask=n == 0), pa.array(n)], ["doc_id", "log_weight", "n_grams"])
 
 
 def kth_largest(keys: DataFrame, k: int, bits: int = 12) -> int | None:
@@ -140,22 +145,24 @@ def kth_largest(keys: DataFrame, k: int, bits: int = 12) -> int | None:
         shift -= bits
 
 
-def weigh(docs: DataFrame, table: np.ndarray, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, log_weight, n_grams and key (with the noise)."""
+def weigh(docs: DataFrame, table: np.ndarray, temperature: float = TEMPERATURE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, log_weight (an n-gram), n_grams and key (with the noise); weight and key are null without n-grams."""
     ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     bits = len(table).bit_length() - 1
     out = rows.mapInArrow(partial(_weigh, table=table, bits=bits), f"doc_id {kind}, log_weight double, n_grams long")
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return out.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    return out.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(u)))
 
 
-def resample(docs: DataFrame, table: np.ndarray, k: int | None = None, tolerance: float = TOLERANCE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, table: np.ndarray, k: int | None = None, tolerance: float = TOLERANCE, temperature: float = TEMPERATURE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_weight, n_grams, key and kept: is the key among the ``k`` largest?"""
-    rows = written(docs.sparkSession, weigh(docs, table, seed, id_col, text_col), "quality-keys")
+    rows = written(docs.sparkSession, weigh(docs, table, temperature, seed, id_col, text_col), "quality-keys")
     if k is None:
-        k = rows.where(F.col("log_weight") >= -tolerance * F.col("n_grams")).count()
+        k = rows.where(F.col("log_weight") >= -tolerance).count()
     micros = F.round(F.col("key") * 1e6).cast("long")
-    least = kth_largest(rows.select(micros.alias("key")), k)
-    return rows.withColumn("kept", F.lit(False) if least is None else micros >= least)
+    weighed = rows.select(micros.alias("key")).where("key is not null")
+    k = min(k, weighed.count())
+    least = kth_largest(weighed, k)
+    return rows.withColumn("kept", F.lit(False) if least is None else F.coalesce(micros >= least, F.lit(False)))

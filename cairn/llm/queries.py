@@ -36,7 +36,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ratios = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.resample(docs, ratios).select("doc_id", "log_weight", "kept")
+    return quality.resample(docs, ratios).select("doc_id", "log_weight", "n_grams", "kept")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -674,6 +674,90 @@ def test_quality_resampling(spark, docs, nothing):
     assert not quality.train(d, d.limit(0).select("doc_id", "quality")).any()
 
 
+def _mix(x, m=(1 << 64) - 1):
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & m
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & m
+    return x ^ (x >> 33)
+
+
+def brute_grams(t):
+    """Buckets of words, of their trigrams and of pairs, one by one."""
+    from xxhash import xxh64_intdigest
+
+    m, out, last = (1 << 64) - 1, [], None
+    for w in WORD.findall(t or ""):
+        h = xxh64_intdigest(w.encode())
+        p = [2, *map(ord, w), 3]
+        out += [_mix(h)] + [_mix(((a * 0x110000 + b) * 0x110000 + c & m) ^ (1 << 63)) for a, b, c in zip(p, p[1:], p[2:])]
+        if last is not None:
+            out.append(_mix(12345) if last == h else _mix(_mix(last * 0x9E3779B97F4A7C15 & m) + h & m))
+        last = h
+    return [x & 8191 for x in out]
+
+
+def test_quality_matches_brute_force(spark, docs):
+    from math import log
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    src = docs.collect()
+    every, good = Counter(), Counter()
+    for r in src:
+        g = brute_grams(r.text)
+        every.update(g)
+        if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 2:
+            good.update(g)
+    n, m = sum(every.values()), sum(good.values())
+
+    def ratio(b):
+        p = (every[b] + 0.5) / (n + 0.5 * 8192)
+        return log((good[b] / m + p) / 2 / p)
+
+    got = quality.resample(docs, quality.train(docs, labels), k=90).collect()
+    want = Counter()
+    for r in src:
+        g = brute_grams(r.text)
+        want[(r.doc_id, len(g), None if not g else round(sum(map(ratio, g)) / len(g), 6) + 0.0)] += 1
+    assert Counter((r.doc_id, r.n_grams, None if r.log_weight is None else round(r.log_weight, 6) + 0.0) for r in got) == want
+    keys = sorted((r["key"] for r in got if r["key"] is not None), reverse=True)
+    assert all(r.kept == (r["key"] is not None and r["key"] >= keys[89] - 1e-6) for r in got)
+    assert not any(r.kept for r in quality.resample(docs, quality.train(docs, labels), k=10**6).collect() if r.n_grams == 0)
+
+
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.QUERIES["op10_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    good, bad = [r.score for r in got if r.toxic == 0], [r.score for r in got if r.toxic == 1]
+    assert len(bad) > 50 and sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good) > 0.9
+
+
+def test_toxicity_scores_match_brute_force(docs):
+    """The noisy-or over sentences of logistic sums over the distinct words that the model knows."""
+    from math import exp
+
+    t = texts() + ["One bad. Two bad bad worse! Three", "bad", "(bad) worse? fine."]
+    known = {"bad": 1.5, "worse": 0.7, "x": -2.0, "changed": 3.0}
+    from cairn.llm.common import word_hash
+
+    h = word_hash(pa.array(list(known)))
+    order = np.argsort(h)
+    model = toxicity.Model(h[order], np.array(list(known.values()))[order], -0.5)
+    s = toxicity.Sentences(pa.array(t))
+    z = toxicity.sentence_scores(model, s)
+    got = -np.expm1(-np.bincount(s.rows, np.logaddexp(0, z), len(t)))
+    for i, x in enumerate(t):
+        none, sentence = 1.0, set()
+        for w in [*WORD.findall(x or ""), None]:
+            if w is not None:
+                sentence.add(w.lower().strip(toxicity.EDGES))
+            if w is None or re.search(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019]*$", w):
+                held = [known[k] for k in sentence if k in known]
+                none *= 1 - 1 / (1 + exp(-(sum(held) - 0.5))) if held else 1.0
+                sentence = set()
+        assert abs(got[i] - (1 - none)) < 1e-9
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     v = [rng.randrange(-(10**12), 10**12) for _ in range(300)] + [5] * 20
