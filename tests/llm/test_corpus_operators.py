@@ -497,7 +497,7 @@ def test_hadamard_is_a_rotation():
     assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(ann.hadamard(ann.hadamard(x)), x)
 
 
-@pytest.mark.parametrize("hashes,probes,tables", [(1, 16, 8), (2, 400, 12)])
+@pytest.mark.parametrize("hashes,probes,tables", [(1, 16, 8), (2, 400, 12), (2, None, 6)])
 def test_neighbours_recall(spark, hashes, probes, tables):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 24)).astype(np.float32)
@@ -519,6 +519,33 @@ def test_neighbours_recall(spark, hashes, probes, tables):
     assert set(got) == set(range(0, 900, 50)) and hits / 180 >= 0.9
 
 
+def test_neighbours_recall_on_the_tables(spark):
+    """All queries of the check's small table against brute force, with the query's own parameters."""
+    sf = "/root/testdata/sf0.1"
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in t], float), np.array([r.vec_id for r in t])
+    got = defaultdict(set)
+    for r in queries.QUERIES["op3_neighbours"](spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = n = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        hits += len(got[ids[i]] & set(ids[[j for j in np.lexsort((ids, d)) if j != i][:10]].tolist()))
+        n += 10
+    assert hits / n >= 0.9
+
+
+def test_neighbours_without_ids(spark):
+    df = spark.createDataFrame([(100, [1.0, 0.0]), (None, [1.0, 0.1]), (7, [1.0, 0.2]), (None, [1.0, 0.3]), (3, [1.0, -0.1])], "vec_id long, embedding array<double>")
+    got = rows(ann.nearest(df, F.col("vec_id") % 100 == 0), "rank", "vec_id")
+    assert sorted(got) == [(1, 3), (2, None), (3, 7), (4, None)]
+
+
+def test_probes_are_sublinear():
+    met = [ann.probes_of(n, 1 << 14) / (1 << 14) * n for n in (10**5, 10**6, 10**7)]
+    assert met[1] / met[0] < 6.6 and met[2] / met[1] < 6.6
+
+
 def test_neighbours_few_and_none(spark):
     df = spark.createDataFrame([(i * 100, [1.0, float(i), -float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
     got = rows(ann.nearest(df, F.col("vec_id") % 100 == 0), "query_id", "rank", "vec_id")
