@@ -37,7 +37,7 @@ from cairn.llm.common import SPACE, by_id, fresh, join_hot, ready, slices, text_
 from cairn.plans.shared import filesystem, shared_path, written
 
 #: Entries of a bucket before it splits; about so many entries and packed bytes of an owner; bytes that a task collapses together.
-BUCKET, OWNER, OWNER_BYTES, TOGETHER = 32, 200_000, 64 << 20, 16 << 20
+BUCKET, OWNER, OWNER_BYTES, TOGETHER = 32, 200_000, 16 << 20, 16 << 20
 ENTRY = np.dtype([("h", "<u8"), ("sha", "V32"), ("n_bytes", "<i8"), ("tag", "<i8"), ("keep", "<i8"), ("known", "?"), ("n", "<i8")])
 
 
@@ -261,11 +261,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = written(spark, rows.mapInArrow(partial(_keys, width=key_bits), _ROWS), "exact-keys")
     entries = keys.where("packed is not null")
     n, size = entries.agg(F.count("*"), F.sum(F.octet_length("packed"))).first()
-    bits = max(3, (n // OWNER).bit_length(), ((size or 0) // OWNER_BYTES).bit_length())
+    bits = max(5, (n // OWNER).bit_length(), ((size or 0) // OWNER_BYTES).bit_length())
     owner = F.shiftrightunsigned("h", max(key_bits - bits, 0)).cast("long").alias("owner")
     path = shared_path(spark, "exact-index")
     sent = entries.select(owner, "h", "sha", "n_bytes", "n", "best_chars", "best_id", "best_tag", "packed")
-    sent.repartition(1 << bits, "owner").sortWithinPartitions("owner").mapInArrow(partial(_build, path=path), "owner long, n long").agg(F.sum("n")).collect()
+    sent.repartitionById(1 << bits, F.col("owner").cast("int")).sortWithinPartitions("owner").mapInArrow(partial(_build, path=path), "owner long, n long").agg(F.sum("n")).collect()
     keys = keys.select("doc_id", "tag", "h", "sha", "n_bytes")
     spread = spark.sql("SELECT /*+ REBALANCE(owner) */ * FROM {k}", k=keys.select("*", owner))
     return spread.mapInArrow(partial(_look_up, path=path), "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
