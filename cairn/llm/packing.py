@@ -3,8 +3,8 @@
 The documents' ids are written once, with the number of documents that hold each id, which is at
 most one number an id of the vocabulary. Documents are then brought together by what they hold: a
 range shuffle orders all of them by their three rarest ids that another document holds too, so that
-like documents meet whatever file they come from; rows with equal keys are parted by a row number,
-so no group of copies is bound to one task. Every task cuts its range into shards of a bounded
+like documents meet whatever file they come from; rows with equal keys are parted by a number of
+their own, so no group of copies is bound to one task. Every task cuts its range into shards of a bounded
 number of ids, each with a BM25 inverted index over its own documents but weighted by the counts
 and the mean length over all documents. A window is filled from a seed: the rest of the document
 that the last window cut, or the next unused one. Queried with all distinct ids of the seed, the
@@ -39,8 +39,8 @@ from cairn.plans.shared import written
 
 #: Ids of a shard, and neighbours that one query returns (a seed that needs more is queried again).
 SHARD_IDS, NEIGHBOURS = 2_000_000, 16
-#: Ranges are of two shards' ids, until there are so many of them.
-RANGES = 50_000
+#: Ranges are of two shards' ids, until there are so many of them; rows of a range that are sampled for its bounds.
+RANGES, SAMPLED = 50_000, 64
 K1, B = 1.2, 0.75
 
 
@@ -101,12 +101,40 @@ def rarest(flat: np.ndarray, ends: np.ndarray, rank: np.ndarray, keys: int = 3)
     return out
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray, width: np.dtype) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, ids, n) with the keys that bring like documents together."""
+def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray, width: np.dtype, bounds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows with the keys that bring like documents together: for ``bounds`` None the keys and the size alone, else with
+    the number of their range."""
     for b in slices(batches, "ids"):
         ids, n = b.column("ids"), b.column("n").to_numpy()
         keys = rarest(np.frombuffer(b"".join(ids.to_pylist()), width), np.concatenate([[0], np.cumsum(n)]), rank)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, *(pa.array(k) for k in keys)], ["doc_id", "ids", "k0", "k1", "k2"])
+        both = keys[0].astype(np.int64) << 32 | keys[1]
+        if bounds is None:
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(keys[2]), b.column("salt"), b.column("n")], ["k", "k2", "salt", "n"])
+            continue
+        mine = np.zeros(len(n), PLACE)
+        mine["k"], mine["k2"], mine["salt"] = both, keys[2], b.column("salt").to_numpy()
+        every = np.concatenate([bounds, mine])
+        order = np.lexsort((np.arange(len(every)), every["salt"], every["k2"], every["k"]))
+        part = np.zeros(len(every), np.int32)
+        part[order] = np.cumsum(order < len(bounds))
+        part = part[len(bounds) :]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(both), pa.array(keys[2]), b.column("salt"), pa.array(part)], ["doc_id", "ids", "k", "k2", "salt", "part"])
+
+
+#: A document's place in the order: its two rarest ids, the third, and a number of the row for those that share all.
+PLACE = np.dtype([("k", "<i8"), ("k2", "<i4"), ("salt", "<i4")])
+
+
+def _bounds(sample: pa.Table, ranges: int) -> np.ndarray:
+    """The places that part the sampled rows in ranges of about equal numbers of ids."""
+    place = np.zeros(sample.num_rows, PLACE)
+    for c in PLACE.names:
+        place[c] = sample[c].to_numpy()
+    order = np.lexsort((place["salt"], place["k2"], place["k"]))
+    upto = np.cumsum(sample["n"].to_numpy()[order])
+    if not len(upto):
+        return place
+    return place[order][np.minimum(np.searchsorted(upto, upto[-1] / ranges * np.arange(1, ranges)), len(upto) - 1)]
 
 
 def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, filled: int = 0) -> list[int]:
@@ -116,28 +144,43 @@ def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, fil
     row, term = np.divmod(pairs, len(idf))
     weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[row] / mean))).astype(np.float32)
     first = np.searchsorted(row, np.arange(n + 1))
-    by_term = np.argsort(term, kind="stable")
+    per_term = np.bincount(term, minlength=len(idf))
+    # ids of more than an eighth of the documents have a dense row, at most eight numbers a posting; the others a list
+    common = np.flatnonzero(per_term * 8 > n)
+    slot = np.full(len(idf), -1)
+    slot[common] = np.arange(len(common))
+    dense = np.zeros((len(common), n), np.float32)
+    often = slot[term] >= 0
+    dense[slot[term[often]], row[often]] = weight[often]
+    rest = np.flatnonzero(~often)
+    by_term = rest[np.argsort(term[rest], kind="stable")]
     post_row, post_weight = row[by_term], weight[by_term].astype(np.float64)  # as bincount takes them, without a copy
     starts = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
     unused = np.ones(n, bool)
     out: list[int] = []
     nxt = 0
-    held = n  # documents with postings
+    held = np.arange(n)  # documents with postings
 
     def neighbours(seed: int) -> np.ndarray:
-        nonlocal post_row, post_weight, starts, held
-        if n - len(out) <= held * 3 // 4:  # so that used documents' postings are read no more
-            keep = unused[post_row]
+        nonlocal post_row, post_weight, starts, held, dense
+        if n - len(out) <= len(held) * 3 // 4:  # so that used documents' postings are read no more
+            left = unused[held]
+            keep = left[post_row]
             starts = np.concatenate([[0], np.cumsum(keep)])[starts]
-            post_row, post_weight, held = post_row[keep], post_weight[keep], n - len(out)
-        spans = [slice(starts[t], starts[t + 1]) for t in term[first[seed] : first[seed + 1]]]
-        score = np.bincount(np.concatenate([post_row[s] for s in spans]), np.concatenate([post_weight[s] for s in spans]), n)
-        score *= unused
-        k = min(NEIGHBOURS, n)
+            post_row, post_weight = (np.cumsum(left) - 1)[post_row[keep]], post_weight[keep]
+            dense, held = np.ascontiguousarray(dense[:, left]), held[left]
+        terms = term[first[seed] : first[seed + 1]]
+        at = slot[terms]
+        spans = [slice(starts[t], starts[t + 1]) for t in terms[at < 0]]
+        score = np.bincount(np.concatenate([none, *(post_row[s] for s in spans)]), np.concatenate([zero, *(post_weight[s] for s in spans)]), len(held))
+        score += dense[at[at >= 0]].sum(0)
+        score *= unused[held]
+        k = min(NEIGHBOURS, len(held))
         best = np.argpartition(-score, k - 1)[:k]
         best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        return held[best[np.lexsort((best, -score[best]))]]
 
+    none, zero = np.zeros(0, np.int64), np.zeros(0)
     seed = -1
     while len(out) < n:
         if seed < 0:
@@ -244,8 +287,12 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, wind
         df[r["id"]] = r["n"]
     width = id_type(size)
     idf = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32)
-    keyed = rows.mapInArrow(partial(_keyed, rank=rarity(df), width=width), "doc_id long, ids binary, k0 int, k1 int, k2 int")
-    by = ["k0", "k1", "k2", "tag"]
+    rows = rows.withColumn("salt", F.shiftright(F.xxhash64(F.monotonically_increasing_id()), 33).cast("int"))
     ranges = min((tokens or 0) // (2 * shard_ids) + 1, RANGES)
-    ranged = keyed.withColumn("tag", F.monotonically_increasing_id()).repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("doc_id", "ids")
+    rank = rarity(df)
+    one_in = max(1, total // (SAMPLED * ranges))  # bounds come from a sample of a bounded size, the ranges hold all rows
+    sample = rows.where(F.pmod("salt", F.lit(one_in)) == 0).mapInArrow(partial(_keyed, rank=rank, width=width, bounds=None), "k long, k2 int, salt int, n long").toArrow()
+    bounds = _bounds(sample, ranges)
+    keyed = rows.mapInArrow(partial(_keyed, rank=rank, width=width, bounds=bounds), "doc_id long, ids binary, k long, k2 int, salt int, part int")
+    ranged = keyed.repartitionById(ranges, "part").sortWithinPartitions("k", "k2", "salt").select("doc_id", "ids")
     return ranged.mapInArrow(partial(_pack, idf=idf, mean=(tokens or 0) / max(total, 1), window=window, shard_ids=shard_ids, width=width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
