@@ -163,6 +163,8 @@ def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, fil
 
     def neighbours(seed: int) -> np.ndarray:
         nonlocal post_row, post_weight, starts, held, dense
+        if len(out) == n:
+            return none
         if n - len(out) <= len(held) * 3 // 4:  # so that used documents' postings are read no more
             left = unused[held]
             keep = left[post_row]
