@@ -175,7 +175,7 @@ def order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, fil
         at = slot[terms]
         spans = [slice(starts[t], starts[t + 1]) for t in terms[at < 0]]
         score = np.bincount(np.concatenate([none, *(post_row[s] for s in spans)]), np.concatenate([zero, *(post_weight[s] for s in spans)]), len(held))
-        score += dense[at[at >= 0]].sum(0)
+        score = score + dense[at[at >= 0]].sum(0)
         score *= unused[held]
         k = min(NEIGHBOURS, len(held))
         best = np.argpartition(-score, k - 1)[:k]
