@@ -54,7 +54,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, kind: str, end: int, n
     df = np.zeros(enc.tok.get_vocab_size() + 1, np.int64)
     width = id_type(len(df))
     key, text = names
-    for b in slices(batches, text, most=8 << 20, work="tokens"):
+    for b in slices(batches, text, most=4 << 20, work="tokens"):
         ids, ends = enc.encode(text_of(b.column(text)))
         n = b.num_rows
         with_end = np.insert(ids.astype(width), ends[1:], end)

@@ -76,8 +76,8 @@ class Encoder:
             self._store(kept, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
 
     def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
+        for i in range(0, len(pieces), 4_000):
+            part = pieces[i : i + 4_000]
             self._store(part, *self._encode_pieces(part))
 
     def _store(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
