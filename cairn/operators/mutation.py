@@ -124,85 +124,185 @@ def _pairs(names: str) -> dict[type, type]:
     return out
 
 
-_CMP = _pairs("Lt=GtE Gt=LtE Eq=NotEq Is=IsNot In=NotIn")
-_BIN = _pairs("Add=Sub Mult=Div FloorDiv>Mult Mod>Mult Pow>Mult BitAnd=BitOr LShift=RShift")
+#: Comparisons move their bound, or, where that may change nothing, turn round.
+_CMP = (_pairs("Lt=LtE Gt=GtE Eq=NotEq Is=IsNot In=NotIn"), _pairs("Lt=Gt LtE=GtE"))
+_BIN = _pairs("Add=Sub Mult=FloorDiv Div>Mult Mod>FloorDiv Pow>Mult BitAnd=BitOr LShift=RShift")
 _BOOL = _pairs("And=Or")
-_ARITHMETIC = (ast.AugAssign, ast.BinOp)
+_KEPT = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Global, ast.Nonlocal, ast.Pass, ast.Import, ast.ImportFrom)
+Spans = list[tuple[int, int]] | None
 
 
-def python_mutants(source: str, delete: bool = True) -> list[tuple[int, str, str, str]]:
-    """(line, kind, detail, mutated source), ordered; a text that doesn't parse has none. Docstrings are left alone."""
+def _within(line: int, spans: Spans) -> bool:
+    return spans is None or any(lo <= line <= hi for lo, hi in spans)
+
+
+def _other_values(v: object) -> list[object]:
+    if isinstance(v, bool):
+        return [not v]
+    if isinstance(v, int):
+        return [v + 1, 0] if v else [1]
+    if isinstance(v, float):
+        return [v * 1.0001 + 1e-9]
+    return [v + "§"] if isinstance(v, str) else []
+
+
+class PythonSite(NamedTuple):
+    line: int
+    kind: str
+    detail: str
+    owner: object  # a node, or a list of nodes
+    at: str | int  # the node's field, or the place in the list
+    new: object
+
+
+def python_sites_of(tree: ast.AST, delete: bool = True, spans: Spans = None) -> list[PythonSite]:
+    """The sites on the lines of ``spans`` (all, if None), by line and kind, then as met; leading texts of blocks are left alone."""
+    docs = set()
+    for n in ast.walk(tree):
+        body = getattr(n, "body", None)
+        if isinstance(body, list) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
+            docs |= {id(body[0]), id(body[0].value)}
+    out: list[PythonSite] = []
+
+    def swap(node: ast.AST, kind: str, owner: object, at: str | int, was: ast.AST, to: type | None) -> None:
+        if to is not None:
+            out.append(PythonSite(node.lineno, kind, f"{type(was).__name__} -> {to.__name__}", owner, at, to()))
+
+    for node in ast.walk(tree):
+        for _, block in ast.iter_fields(node) if delete else ():
+            for i, s in enumerate(block if isinstance(block, list) else ()):
+                if isinstance(s, ast.stmt) and not isinstance(s, _KEPT) and id(s) not in docs and _within(s.lineno, spans):
+                    out.append(PythonSite(s.lineno, "delete", "statement -> pass", block, i, ast.Pass()))
+        if not hasattr(node, "lineno") or not _within(node.lineno, spans):
+            continue
+        if isinstance(node, ast.Compare):
+            for i, o in enumerate(node.ops):
+                for table in _CMP:
+                    swap(node, "cmp", node.ops, i, o, table.get(type(o)))
+        elif isinstance(node, (ast.BinOp, ast.AugAssign)):
+            swap(node, "bin" if isinstance(node, ast.BinOp) else "aug", node, "op", node.op, _BIN.get(type(node.op)))
+        elif isinstance(node, ast.BoolOp):
+            swap(node, "bool", node, "op", node.op, _BOOL[type(node.op)])
+        elif isinstance(node, ast.Constant) and id(node) not in docs:
+            out += [PythonSite(node.lineno, "const", f"{node.value!r} -> {v!r}", node, "value", v) for v in _other_values(node.value)]
+    return sorted(out, key=lambda s: (s.line, s.kind))
+
+
+def python_mutants(source: str, delete: bool = True, spans: Spans = None, limit: int | None = None) -> tuple[int, list[tuple[int, str, str, str]]]:
+    """The number of all sites, and (line, kind, detail, mutated source) of the first ``limit``. A text that doesn't parse has none."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return []
-    docs = {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.body and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant)}
-    out: list[tuple[int, str, str, str]] = []
-
-    def swap(node: ast.AST, field: str, new: object, kind: str, detail: str, index: int | None = None) -> None:
-        owner = getattr(node, field) if index is not None else node
-        old = owner[index] if index is not None else getattr(node, field)
-        owner.__setitem__(index, new) if index is not None else setattr(node, field, new)
+    except (SyntaxError, ValueError, RecursionError):
+        return 0, []
+    sites = python_sites_of(tree, delete, spans)
+    out = []
+    for s in sites[:limit]:
+        get, put = (s.owner.__getitem__, s.owner.__setitem__) if isinstance(s.owner, list) else (partial(getattr, s.owner), partial(setattr, s.owner))
+        old = get(s.at)
+        put(s.at, s.new)
         try:
-            out.append((node.lineno, kind, detail, ast.unparse(ast.fix_missing_locations(tree))))
+            out.append((s.line, s.kind, s.detail, ast.unparse(tree)))
         finally:
-            owner.__setitem__(index, old) if index is not None else setattr(node, field, old)
+            put(s.at, old)
+    return len(sites), out
+
+
+_JS_CMP = {"<": ("<=", ">"), "<=": ("<", ">="), ">": (">=", "<"), ">=": (">", "<="), "==": ("!=",), "!=": ("==",), "===": ("!==",), "!==": ("===",)}
+_JS_BIN = {"+": "-", "-": "+", "*": "/", "/": "*", "%": "*"}
+_JS_BOOL = {"&&": "||", "||": "&&"}
+_JS_TOKEN = re.compile(
+    r"(?P<number>(?<![\w$.])(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?)(?![\w$]))"
+    r"|(?P<other>=>|>>>=|>>=|<<=|\*\*=|&&=|\|\|=|\?\?=|>>>|>>|<<|\*\*|\+\+|--|\+=|-=|\*=|/=|%=)"
+    r"|(?P<op>===|!==|==|!=|<=|>=|&&|\|\||[<>+\-*/%])"
+    r"|(?P<word>[\w$]+)|(?P<rest>\S)"
+)
+#: Words before which an operator has a left operand's place empty.
+_JS_PREFIX = frozenset("return typeof case in of delete void throw new instanceof do else yield await".split())
 
-    for node in list(ast.walk(tree)):
-        if isinstance(node, ast.Compare):
-            known = [(i, type(o), _CMP[type(o)]) for i, o in enumerate(node.ops) if type(o) in _CMP]
-            for at, was, to in known:
-                swap(node, "ops", to(), "cmp", f"{was.__name__} -> {to.__name__}", at)
-        elif isinstance(node, _ARITHMETIC) and (to := _BIN.get(type(node.op))):
-            swap(node, "op", to(), "bin", f"{type(node.op).__name__} -> {to.__name__}")
-        elif isinstance(node, ast.BoolOp):
-            to = _BOOL[type(node.op)]
-            swap(node, "op", to(), "bool", f"{type(node.op).__name__} -> {to.__name__}")
-        elif id(node) not in docs and isinstance(node, ast.Constant):
-            v = node.value
-            news = [not v] if isinstance(v, bool) else [v + 1, 0 if v else 1] if isinstance(v, (int, float)) else ["", v + "X"] if isinstance(v, str) and v else []
-            for new in dict.fromkeys(map(repr, news)):
-                swap(node, "value", ast.literal_eval(new), "const", f"{v!r} -> {new}")
-        for field in ("body", "orelse", "finalbody") if delete else ():
-            block = getattr(node, field, None)
-            for i, s in enumerate(block if isinstance(block, list) else ()):
-                if isinstance(s, (ast.Assign, ast.AugAssign, ast.Expr)) and not (isinstance(s, ast.Expr) and id(s.value) in docs):
-                    block[i] = ast.copy_location(ast.Pass(), s)
-                    out.append((s.lineno, "delete", type(s).__name__, ast.unparse(tree)))
-                    block[i] = s
-    return sorted(out, key=lambda m: m[:3])
+
+def _js_number(text: str) -> float:
+    t = text.replace("_", "")
+    return float(int(t, 0)) if t[:2].lower() in ("0x", "0o", "0b") else float(t)
+
+
+def _js_text(v: float) -> str:
+    return str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(v)
+
+
+def javascript_sites(source: str) -> list[Site]:
+    """Operators between two operands and numbers, by line, kind and detail. By tokens: there is no parser, so expression
+    statements aren't deleted, and signs in type parameters or markup may count as comparisons."""
+    mask, out, line, counted, operand = code_mask(source, LEXICONS["javascript"]), [], 1, 0, False
+    at = 0
+    while m := _JS_TOKEN.search(source, at):
+        at = m.end()
+        if not mask[m.start()]:
+            operand = operand or source[m.start()] in "\"'`"
+            at = m.start() + 1
+            continue
+        line += source.count("\n", counted, m.start())
+        counted = m.start()
+        found: list[tuple[str, str, str]] = []
+        if m["number"] is not None:
+            v = _js_number(m[0])
+            found = [("const", _js_text(v), t) for t in ([_js_text(v + 1)] + ["0"] * (v == 1))] if v < 1e300 else []
+        elif m["op"] is not None and operand:
+            found = [("cmp", m[0], t) for t in _JS_CMP.get(m[0], ())] + [("bin", m[0], t) for t in (_JS_BIN.get(m[0]),) if t] + [("bool", m[0], t) for t in (_JS_BOOL.get(m[0]),) if t]
+        out += [Site(line, m.start(), m.end(), to, kind, f"{was} -> {to}") for kind, was, to in found]
+        operand = m["number"] is not None or (m["word"] is not None and m[0] not in _JS_PREFIX) or m[0] in ")]}" or (m[0] in ("++", "--") and operand)
+    return sorted(out, key=lambda s: (s.line, s.kind, s.detail))
+
+
+def sites_of(source: str, language: str) -> list[Site]:
+    return javascript_sites(source) if language == "javascript" else text_sites(source, language)
+
+
+def _spans(b: pa.RecordBatch) -> list[Spans]:
+    """Each row's spans: all lines where the table has no such column or it is null."""
+    if "spans" not in b.schema.names:
+        return [None] * b.num_rows
+    return [None if x is None else [(s["lo"], s["hi"]) for s in x] for x in b.column("spans").to_pylist()]
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple[str, str, Spans]]:
+    return zip(b.column("path").to_pylist(), b.column("source").to_pylist(), _spans(b))
+
+
+def _columns(sources: DataFrame) -> DataFrame:
+    spans = [F.col("spans").cast("array<struct<lo:int,hi:int>>").alias("spans")] if "spans" in sources.columns else []
+    return sources.select("path", "source", *spans)
 
 
 def _sites(batches: Iterator[pa.RecordBatch], language: str) -> Iterator[pa.RecordBatch]:
     names = ["path", *Site._fields]
     for b in batches:
-        rows = [(p, *s) for p, text in zip(b.column("path").to_pylist(), b.column("source").to_pylist()) for s in text_sites(text or "", language)]
+        rows = [(p, *s) for p, text, spans in _rows(b) for s in sites_of(text or "", language) if _within(s.line, spans)]
         cols = list(zip(*rows)) or [()] * len(names)
         types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
 
 def sites(sources: DataFrame, language: str) -> DataFrame:
-    """The sites of (path, source) rows; offsets count characters. Null texts have none."""
+    """The sites of (path, source, optionally spans) rows, on lines within spans (array of lo, hi); offsets count characters. Null texts have none."""
     ship_package(sources.sparkSession)
-    return sources.select("path", "source").mapInArrow(partial(_sites, language=language), "path string, line int, start int, end int, replacement string, kind string, detail string")
+    return _columns(sources).mapInArrow(partial(_sites, language=language), "path string, line int, start int, end int, replacement string, kind string, detail string")
 
 
 def _python(batches: Iterator[pa.RecordBatch], limit: int | None, delete: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for p, text in zip(b.column("path").to_pylist(), b.column("source").to_pylist()):
-            found = python_mutants(text or "", delete)
-            rows += [(p, *m, len(found)) for m in found[:limit]]
+        for p, text, spans in _rows(b):
+            n, found = python_mutants(text or "", delete, spans, limit)
+            rows += [(p, *m, n) for m in found]
         cols = list(zip(*rows)) or [()] * 6
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "line", "kind", "detail", "mutant", "total_sites"])
 
 
 def python_sites(sources: DataFrame, limit: int | None = None, delete: bool = True) -> DataFrame:
-    """The mutants of Python texts, at most ``limit`` a text (the budget), with the number of all its sites."""
+    """The mutants of Python texts (path, source, optionally spans), at most ``limit`` a text (the budget), with the number of all its sites."""
     ship_package(sources.sparkSession)
-    return sources.select("path", "source").mapInArrow(partial(_python, limit=limit, delete=delete), "path string, line int, kind string, detail string, mutant string, total_sites int")
+    return _columns(sources).mapInArrow(partial(_python, limit=limit, delete=delete), "path string, line int, kind string, detail string, mutant string, total_sites int")
 
 
 def mutants(sources: DataFrame, language: str, limit: int | None = None) -> DataFrame:
@@ -214,6 +314,6 @@ def mutants(sources: DataFrame, language: str, limit: int | None = None) -> Data
         return python_sites(sources, limit).drop("total_sites")
     found = sites(sources, language)
     if limit is not None:
-        found = found.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("start"))).where(F.col("_n") <= limit)
+        found = found.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line", "kind", "detail", "start") if language == "javascript" else Window.partitionBy("path").orderBy("start"))).where(F.col("_n") <= limit)
     spliced = splice(F.col("source"), F.col("start"), F.col("end"), F.col("replacement"))
     return found.join(sources.select("path", "source"), "path").select("path", "line", "kind", "detail", spliced.alias("mutant"))

@@ -207,12 +207,45 @@ def test_mutation_sites():
     assert mutation.text_sites('"1', "go") == [] and mutation.text_sites("", "go") == []
 
 
+def kinds_of(source, **how):
+    return [m[:3] for m in mutation.python_mutants(source, **how)[1]]
+
+
 def test_python_mutants():
-    got = mutation.python_mutants('def f(a):\n    "doc"\n    b = a + 1\n    return b > 2 and a\n')
-    kinds = [(line, kind, detail) for line, kind, detail, _ in got]
-    assert (3, "bin", "Add -> Sub") in kinds and (4, "cmp", "Gt -> LtE") in kinds and (4, "bool", "And -> Or") in kinds and (3, "delete", "Assign") in kinds
-    assert not any("doc" in d for _, _, d in kinds) and kinds == sorted(kinds) and len({m for *_, m in got}) == len(got)
-    assert mutation.python_mutants("def (") == []
+    got = kinds_of('def f(a):\n    "doc"\n    b = a + 1\n    return b > 2 and a\n')
+    assert got == [
+        (3, "bin", "Add -> Sub"), (3, "const", "1 -> 2"), (3, "const", "1 -> 0"), (3, "delete", "statement -> pass"),
+        (4, "bool", "And -> Or"), (4, "cmp", "Gt -> GtE"), (4, "cmp", "Gt -> Lt"), (4, "const", "2 -> 3"), (4, "const", "2 -> 0"), (4, "delete", "statement -> pass"),
+    ]
+    assert mutation.python_mutants("def (") == (0, [])
+    one = lambda e: [d for _, k, d in kinds_of(e, delete=False) if k not in ("const",)]
+    assert one("a < b") == ["Lt -> LtE", "Lt -> Gt"] and one("a <= b") == ["LtE -> Lt", "LtE -> GtE"] and one("a in b") == ["In -> NotIn"]
+    assert [one(f"a {o} b")[0].split(" -> ")[1] for o in ("*", "//", "/", "%", "**", "|", "<<", "-")] == ["FloorDiv", "Mult", "Mult", "FloorDiv", "Mult", "BitAnd", "RShift", "Add"]
+    assert one("a @ b") == [] and kinds_of("a += b", delete=False) == [(1, "aug", "Add -> Sub")]
+    const = lambda e: [d.split(" -> ")[1] for _, k, d in kinds_of(f"x = {e}", delete=False) if k == "const"]
+    assert const("True") == ["False"] and const("0") == ["1"] and const("7") == ["8", "0"] and const("2.5") == [repr(2.5 * 1.0001 + 1e-9)] and const("'s'") == ["'s§'"] and const("''") == ["'§'"] and const("None") == []
+    deleted = [line for line, k, _ in kinds_of("import os\nif a:\n    return_ = 1\n    pass\nfor x in y:\n    raise x\nclass C:\n    'doc'\n    def g(self):\n        global z\n        return 1\n") if k == "delete"]
+    assert deleted == [2, 3, 5, 6, 11]
+    n, some = mutation.python_mutants("a < 1\nb < 2\nc < 3\n", spans=[(2, 2), (3, 3)], limit=2)
+    assert n == 10 and [m[:3] for m in some] == [(2, "cmp", "Lt -> LtE"), (2, "cmp", "Lt -> Gt")] and some[0][3] == "a < 1\nb <= 2\nc < 3"
+
+
+def test_javascript_mutants():
+    src = "const a = b < 1 && c !== 'x < y'; // d > e\nlet f = -g % 0x10, h = 1.5;\ni += 2; j = k => k >>> 3; m++ + n / p;\n"
+    got = [(s.line, s.kind, s.detail, src[s.start : s.end]) for s in mutation.javascript_sites(src)]
+    assert got == [
+        (1, "bool", "&& -> ||", "&&"), (1, "cmp", "!== -> ===", "!=="), (1, "cmp", "< -> <=", "<"), (1, "cmp", "< -> >", "<"), (1, "const", "1 -> 0", "1"), (1, "const", "1 -> 2", "1"),
+        (2, "bin", "% -> *", "%"), (2, "const", "1.5 -> 2.5", "1.5"), (2, "const", "16 -> 17", "0x10"),
+        (3, "bin", "+ -> -", "+"), (3, "bin", "/ -> *", "/"), (3, "const", "2 -> 3", "2"), (3, "const", "3 -> 4", "3"),
+    ]
+
+
+def test_sites_within_spans(spark):
+    src = spark.createDataFrame([("a.java", "x = a + 1;\ny = b + 2;\nz = c + 3;\n", [(2, 3)]), ("b.java", "x = a + 1;", None), ("c.java", None, [(1, 9)])], "path string, source string, spans array<struct<lo:int,hi:int>>")
+    got = sorted((r.path, r.line, r.detail) for r in mutation.sites(src, "java").collect())
+    assert got == [("a.java", 2, "+ -> -"), ("a.java", 2, "2 -> 3"), ("a.java", 3, "+ -> -"), ("a.java", 3, "3 -> 4"), ("b.java", 1, "+ -> -"), ("b.java", 1, "1 -> 0")]
+    py = spark.createDataFrame([("a.py", "x = a + b\ny = a < b\n", [(2, 2)])], "path string, source string, spans array<struct<lo:int,hi:int>>")
+    assert [(r.line, r.kind, r.total_sites) for r in mutation.python_sites(py, limit=2).collect()] == [(2, "cmp", 3), (2, "cmp", 3)]
 
 
 SOURCE = "import logging\n\ndef total(xs):\n    t = 0\n    n = 0\n    for x in xs:\n        t += x\n        n += 1\n    logging.info('%s', n)\n    return t\n"
