@@ -84,32 +84,39 @@ def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array(level, pa.float64())], ["fn", "depth"])
 
 
-def call_depth(edges: DataFrame, functions: DataFrame, rounds: int = 200) -> DataFrame:
+#: Functions and calls that are packed into one row, in which depths take one pass.
+PACKED = 1_000_000
+
+
+def call_depth(edges: DataFrame, functions: DataFrame, packed: int = PACKED) -> DataFrame:
     """(fn, depth): 1 for a function without calls, else 1 more than its deepest callee outside its cycle.
 
-    Components of mutual recursion are found by forward and backward minima, the depths by relaxation over
-    the condensation. Both work on edge tables, however large the call graph; their rounds are bounded by
-    its longest path.
+    A call graph of at most ``packed`` functions and calls meets in one row. In a larger one, components of
+    mutual recursion are found by forward and backward minima, the depths by relaxation over the condensation:
+    both work on edge tables, however large, in as many rounds as its longest path has calls.
     """
     spark = edges.sparkSession
     ship_package(spark)
     e = written(spark, edges.where("fn <> callee_fn").select(F.col("fn").alias("s"), F.col("callee_fn").alias("d")), "calls")
+    if e.count() + functions.count() <= packed:
+        fns = functions.agg(F.collect_list("fn").alias("fns"))
+        es = e.agg(F.collect_list("s").alias("srcs"), F.collect_list("d").alias("dsts"))
+        return fns.join(es, F.lit(True)).mapInArrow(_depths, "fn bigint, depth double")  # one row by one row
     comp = _mutual(e, functions.select("fn"))
     c = comp.select(F.col("fn").alias("s"), F.col("comp").alias("cs"))
     outer = e.join(c, "s").join(comp.select(F.col("fn").alias("d"), F.col("comp").alias("cd")), "d").where("cs <> cd").select("cs", "cd").distinct()
     outer = written(spark, outer, "condensed")
     level = written(spark, comp.select("comp").distinct().withColumn("depth", F.lit(1.0)), "depth")
-    for _ in range(rounds):
+    while True:
         up = outer.join(level.select(F.col("comp").alias("cd"), F.col("depth").alias("below")), "cd").groupBy(F.col("cs").alias("comp")).agg((F.max("below") + 1).alias("up"))
         new = written(spark, level.join(up, "comp", "left").select("comp", F.greatest("depth", F.coalesce("up", F.lit(1.0))).alias("depth"), (F.coalesce("up", F.lit(1.0)) > F.col("depth")).alias("moved")), "depth")
         moved = new.where("moved").limit(1).count()
         level = new.drop("moved")
         if not moved:
             return comp.join(level, "comp").select("fn", "depth")
-    raise RuntimeError(f"call depths didn't settle in {rounds} rounds")
 
 
-def _mutual(e: DataFrame, fns: DataFrame, rounds: int = 200) -> DataFrame:
+def _mutual(e: DataFrame, fns: DataFrame) -> DataFrame:
     """(fn, comp): the least function of each cycle's component.
 
     Functions without a call in or out, again and again, are their own. Of what is left, the forward and
@@ -118,8 +125,8 @@ def _mutual(e: DataFrame, fns: DataFrame, rounds: int = 200) -> DataFrame:
     spark = e.sparkSession
     done = []
     left = e
-    for _ in range(rounds):
-        for _ in range(rounds):  # trim what lies on no cycle
+    while True:
+        while True:  # trim what lies on no cycle
             n = left.count()
             heads, tails = left.select(F.col("d").alias("s")).distinct(), left.select(F.col("s").alias("d")).distinct()
             left = written(spark, left.join(heads, "s", "left_semi").join(tails, "d", "left_semi").select("s", "d"), "cyclic")
@@ -138,17 +145,16 @@ def _mutual(e: DataFrame, fns: DataFrame, rounds: int = 200) -> DataFrame:
     return fns.join(found, "fn", "left").select("fn", F.coalesce("comp", "fn").alias("comp"))
 
 
-def _least_label(e: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
+def _least_label(e: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the least node that reaches it along a -> b, itself included."""
     spark = e.sparkSession
     label = e.select(F.col("s").alias("node")).union(e.select("d")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    while True:
         step = e.join(label, F.col(a) == F.col("node")).groupBy(F.col(b).alias("n")).agg(F.min("label").alias("l"))
         new = written(spark, label.join(step, F.col("node") == F.col("n"), "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("moved")), "label")
         label = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return label
-    raise RuntimeError(f"labels didn't settle in {rounds} rounds")
 
 
 def boundary_density(lines: DataFrame, functions: DataFrame) -> DataFrame:

@@ -115,6 +115,26 @@ TIER = """
       + 0.25 * case when kind in ('return', 'state_write') then 1.0 when kind = 'call' then 0.6 else 0.0 end)) end as score
   from tiered
 )"""
+REASONS = """
+, paths as (
+  select w.fn, w.nid, [w.nid] as path from walk w where w.d = 0
+  union all select p.fn, e.src, list_append(p.path, e.src) from paths p join dep e on e.fn = p.fn and e.dst = p.nid join dist d on d.fn = e.fn and d.nid = e.src and d.distance = len(p.path)
+), nearest as (
+  select fn, nid, min(path)[1] as source from paths group by all
+), reached as (
+  select n.fn, n.nid, case k.kind when 'return' then 'return value' when 'state_write' then 'state write ' || k.target else 'opaque call ' || k.callee end as label
+  from nearest n join node k on k.fn = n.fn and k.nid = n.source
+), why as (
+  select f.*, denylisted, label, case when n > 1 then influence::double / (n - 1) else 0.0 end as share from fact f join deny using (fn, nid) left join reached using (fn, nid)
+), reason as (
+  select fn, nid, 0 as tier, case when kind = 'call' and denylisted then 'denylisted call ' || callee else 'every use of this value ends in a denylisted call' end as text from why where inert
+  union all select fn, nid, 3, 'branch predicate governing ' || governed || ' instructions (' || format('{:.0f}', 100 * (governed::double / n)) || '% of body)' from why where not inert and kind = 'branch' and governed > 0
+  union all select fn, nid, 3, 'loop-carried definition at nesting depth ' || depth from why where not inert and carried
+  union all select fn, nid, 2, kind || coalesce(' -> ' || coalesce(target, callee), '') from why where not inert and effect
+  union all select fn, nid, 1, 'reaches ' || label || ' in ' || distance || ' dependence step(s)' from why where not inert and not effect and distance > 0
+  union all select fn, nid, 3, influence || ' instructions depend on this (' || format('{:.0f}', 100 * share) || '% of the body)' from why where not inert and share >= 0.1
+  union all select fn, nid, 1, 'result reaches no effect' from why where not inert and not effect and coalesce(distance, 0) = 0 and not (kind = 'branch' and governed > 0) and not carried and share < 0.1
+)"""
 GRAPH = IR + RCUT + RD + DEP
 ALL = IR + CUT + RCUT + LOOPS + RD + DEP + DENY + DIST + TIER
 LINE = """

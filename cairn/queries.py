@@ -11,7 +11,8 @@ from cairn import oracles as o
 from cairn.functions import denylist, paths, text
 from cairn.model import INSTRUMENTS
 from cairn.operators import kernel, mutation, panel, scope, stats
-from cairn.plans import ir
+from cairn.plans import analyze, calibrate, ir
+from cairn.sources import sinks
 from cairn.plans.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,12 +72,19 @@ def ir_edges(spark, sf_dir):
 
 @register(o.q(o.IR, "select fn, dst::int as nid, list_sort(list(distinct src::int))::varchar as preds from cfg group by fn, dst"))
 def ir_preds(spark, sf_dir):
-    return ir.edges(ir.from_lines(spark, sf_dir)).groupBy("fn", F.col("dst").alias("nid")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set("src")), ", "), F.lit("]")).alias("preds"))
+    f = facts(spark, sf_dir, "preds").where(F.size("preds") > 0)
+    return f.select("fn", "nid", F.concat(F.lit("["), F.array_join("preds", ", "), F.lit("]")).alias("preds"))
 
 
-@register(o.q(o.IR, "select kind, count(*) as nodes, count_if(kind in ('return', 'state_write', 'call')) as effects, count_if(kind in ('return', 'state_write')) as hard_effects, 0::bigint as inert, 0::bigint as structural from node group by kind"))
+@register(o.q(o.IR, """
+, odd as (select *, kind = 'call' and callee = 'mylog.info' as quiet, line = 2 as bare from node)
+select kind, count(*) as nodes, count_if(kind in ('return', 'state_write') or kind = 'call' and not quiet) as effects, count_if(kind in ('return', 'state_write')) as hard_effects,
+       count_if(quiet) as inert, count_if(kind = 'pure' and bare) as structural from odd group by kind""".strip()))
 def ir_effects(spark, sf_dir):
-    flags = ir.from_lines(spark, sf_dir).select("kind", ir.is_effect().alias("e"), ir.is_hard_effect().alias("h"), ir.is_inert().alias("i"), ir.is_structural().alias("s"))
+    n = ir.from_lines(spark, sf_dir).withColumn("opacity", F.when(F.col("callee") == "mylog.info", "inert"))
+    for c in ("defs", "uses"):  # second lines neither define nor use
+        n = n.withColumn(c, F.when(F.col("line") == 2, F.array().cast("array<bigint>")).otherwise(F.col(c)))
+    flags = n.select("kind", ir.is_effect().alias("e"), ir.is_hard_effect().alias("h"), ir.is_inert().alias("i"), ir.is_structural().alias("s"))
     return flags.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if("e").alias("effects"), F.count_if("h").alias("hard_effects"), F.count_if("i").alias("inert"), F.count_if("s").alias("structural"))
 
 
@@ -85,9 +93,11 @@ def ir_coverage(spark, sf_dir):
     return ir.from_lines(spark, sf_dir).groupBy("fn").agg(F.count("*").alias("instructions"), F.count("line").alias("with_line"), F.countDistinct("line").alias("lines"))
 
 
-@register(o.q(o.IR, "select fn, file, name, 0::int as entry, 'out of range' as error from node where false"))
+@register(o.q(o.IR, "select distinct fn, file, name, (case when fn % 7 = 0 then 3 else 0 end)::int as entry, 'out of range' as error from node where fn % 7 = 0 and n <= 3 or fn % 11 = 0 and nid = 0 and n = 1 or fn % 11 = 0 and n = 4"))
 def ir_validate(spark, sf_dir):
-    return ir.invalid(ir.pack(ir.from_lines(spark, sf_dir), "fn", "file", "name")).select("fn", "file", "name", "entry", "error")
+    wrong_entry, wrong_succ = F.col("fn") % 7 == 0, (F.col("fn") % 11 == 0) & (F.col("nid") == 0) & F.col("n").isin(1, 4)
+    n = ir.from_lines(spark, sf_dir).withColumn("entry", F.when(wrong_entry, 3).otherwise(0)).withColumn("succs", F.when(wrong_succ, F.array("n")).otherwise(F.col("succs")))
+    return ir.invalid(ir.pack(n, "fn", "file", "name")).select("fn", "file", "name", "entry", "error")
 
 
 @register("select l_orderkey as fn, count(*) as n from lineitem group by 1 having count(*) > 6")
@@ -240,7 +250,7 @@ def tier_score(spark, sf_dir):
     return facts(spark, sf_dir, "tier", "score").select("fn", "nid", "tier", r6("score").alias("score"))
 
 
-@register()
+@register(o.q(o.ALL + o.REASONS, "select fn, nid, tier, text from reason"))
 def reasons(spark, sf_dir):
     return facts(spark, sf_dir, "reasons").select("fn", "nid", F.explode("reasons").alias("r")).select("fn", "nid", "r.tier", "r.text")
 
@@ -410,16 +420,28 @@ def repo_score(spark, sf_dir):
 # -- reports
 
 
-@register(o.q(o.ALL + o.LINE, "select fn, count_if(tier = 3) as core, count_if(tier = 2) as boundary, count_if(tier = 1) as plumbing, count_if(tier = 0) as inert from lined group by fn"))
+def _line_spans(spark, sf_dir):
+    """(packed functions, spans of a line each with its tier and score)."""
+    f = facts(spark, sf_dir, "structural", "tier", "score", keys=("fn", "file", "name"))
+    lines = panel.scored_lines(f, "fn", "file", "name").withColumn("reasons", F.array().cast("array<string>"))
+    spans = lines.select("fn", "file", "name", F.col("line").alias("start"), F.col("line").alias("end"), "tier", "score", F.lit(0.0).alias("rank"), "reasons")
+    return ir.pack(ir.from_lines(spark, sf_dir), "fn", "file", "name"), spans
+
+
+@register(o.q(o.ALL + o.LINE, """
+, c as (select fn, count(*) as instructions, count(line) as with_line from node group by fn)
+select fn, instructions::int as instructions, with_line::int as with_line, count_if(tier = 3) as core, count_if(tier = 2) as boundary, count_if(tier = 1) as plumbing, count_if(tier = 0) as inert, count(*)::int as spans
+from lined join c using (fn) group by all""".strip()))
 def sidecar_summary(spark, sf_dir):
-    lines = panel.scored_lines(facts(spark, sf_dir, "structural", "tier"), scores=())
-    return lines.groupBy("fn").agg(*(F.count_if(F.col("tier") == t).alias(n) for t, n in ((3, "core"), (2, "boundary"), (1, "plumbing"), (0, "inert"))))
+    functions, spans = _line_spans(spark, sf_dir)
+    r = sinks.function_records(functions.withColumn("name", F.col("fn").cast("string")), spans.drop("file", "name"))
+    return r.select(F.col("record.name").cast("long").alias("fn"), "record.coverage.*", "record.summary.*", F.size("record.spans").alias("spans"))
 
 
-@register(o.q(o.ALL, "select tier::int as tier, count(*) as nodes, round(count(*)::double / sum(count(*)) over (), 6) as share, round(avg(score), 5) as mean_score from scored group by tier"))
+@register(o.q(o.ALL + o.LINE, "select case tier when 3 then 'core' when 2 then 'boundary' when 1 then 'plumbing' else 'inert' end as tier, count(*) as lines, round(avg(score), 5) as mean_score from lined group by tier"))
 def stats_histogram(spark, sf_dir):
-    t = facts(spark, sf_dir, "tier", "score").groupBy("tier").agg(F.count("*").alias("nodes"), F.round(F.avg("score"), 5).alias("mean_score"))
-    return t.withColumn("share", r6(F.col("nodes") / F.sum("nodes").over(Window.partitionBy(F.lit(0))))).select("tier", "nodes", "share", "mean_score")
+    functions, spans = _line_spans(spark, sf_dir)
+    return analyze.report(functions, spans, form="stats").select("tier", "lines", F.round("mean_score", 5).alias("mean_score"))
 
 
 @register("select l_orderkey, l_linenumber, l_partkey, floor(l_discount * 7 * 100 + 0.5) / 100 as r from lineitem")
@@ -436,9 +458,39 @@ def span_text(spark, sf_dir):
 # -- mutation
 
 
-@register(r"select page_id, len(regexp_extract_all(html, '&&|\|\||<=|!=')) as sites from pages")
-def mutation_operators(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"&&|\|\||<=|!=")).cast("long").alias("sites"))
+_OPERANDS = "l_quantity::int as q, l_partkey as p, l_suppkey as s, l_linenumber as k"
+
+
+def _sources(spark, sf_dir, line: Column) -> DataFrame:
+    """(path, source): an order's lines as lines of a program."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), line.alias("t"))
+    return rows.groupBy("path").agg(F.array_join(F.collect_list("t"), "\n").alias("source"))
+
+
+@register(f"""
+with t as (select l_orderkey::varchar as path, {_OPERANDS} from lineitem
+), l as (select path, count(*) as n, sum(4 + case q when 0 then 1 else 2 end + case p when 0 then 1 else 2 end + case s when 0 then 1 else 2 end)::int as total_sites from t group by path)
+select path, k as place, case k when 1 then 'bin' else 'cmp' end as kind, case k when 1 then 'Mult -> FloorDiv' when 2 then 'Lt -> LtE' else 'Lt -> Gt' end as detail, 1 as line, total_sites
+from l, unnest([1, 2, 3]) u(k)""")
+def python_mutants(spark, sf_dir):
+    q = F.col("l_quantity").cast("int").cast("string")
+    src = _sources(spark, sf_dir, F.concat(F.lit("v = "), q, F.lit(" * "), F.col("l_partkey").cast("string"), F.lit(" < "), F.col("l_suppkey").cast("string")))
+    found = mutation.python_sites(src, limit=3).drop("mutant")  # the budget: a text's first three
+    place = F.when(F.col("kind") == "bin", 1).when(F.col("detail") == "Lt -> LtE", 2).otherwise(3)
+    return found.select("path", place.alias("place"), "kind", "detail", "line", "total_sites")
+
+
+@register(f"""
+with t as (select l_orderkey::varchar as path, {_OPERANDS} from lineitem
+), v as (select path, unnest([q, p, s, k]) as x from t
+), d as (
+  select path, 'cmp' as kind, unnest(['< -> <=', '< -> >', '!== -> ===']) as detail from t union all select path, 'bool', '&& -> ||' from t union all select path, 'bin', '% -> *' from t
+  union all select path, 'const', x || ' -> ' || (x + 1) from v union all select path, 'const', '1 -> 0' from v where x = 1)
+select path, kind, detail, count(*) as sites from d group by all""")
+def javascript_sites(spark, sf_dir):
+    q, p, s, k = (F.col(c).cast("int").cast("string") for c in ("l_quantity", "l_partkey", "l_suppkey", "l_linenumber"))
+    src = _sources(spark, sf_dir, F.concat(F.lit("v = -x < "), q, F.lit(" && /* a < b */ y !== "), p, F.lit(" % "), s, F.lit("; w = `+`; // "), p, F.lit("\nz = "), k, F.lit(";")))
+    return mutation.sites(src, "javascript").groupBy("path", "kind", "detail").agg(F.count("*").alias("sites"))
 
 
 @register()
@@ -520,10 +572,10 @@ def verdict(spark, sf_dir):
     return one.withColumn("gate", stats.gate_code(F.col("verdict")))
 
 
-@register("select concat('o', l_orderkey) as file, l_orderkey as fn, count(*) as lines from lineitem group by all order by lines desc, file, fn limit 30")
+@register("select concat('o', l_orderkey) as file, l_orderkey as name, count(*) as lines from lineitem group by all order by lines desc, file, name limit 30")
 def topk_sample(spark, sf_dir):
-    t = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_orderkey").alias("fn")).agg(F.count("*").alias("lines"))
-    return t.orderBy(F.desc("lines"), "file", "fn").limit(30)
+    t = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_orderkey").alias("name")).agg(F.count("*").alias("lines"))
+    return calibrate.sample(t, 30)
 
 
 @register(f"""with r as {_rho_sql('lineitem', 'l_quantity', 'l_extendedprice', 'l_suppkey', 3)}

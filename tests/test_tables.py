@@ -87,15 +87,23 @@ def test_ambiguous_here_may_be_unique_elsewhere(spark):
     assert scope.resolved(c, f).collect()[0].callee_fn == 3
 
 
-def test_call_depth_with_cycles(spark):
+@pytest.mark.parametrize("packed", [0, 10**6])
+def test_call_depth_with_cycles(spark, packed):
     fns = spark.createDataFrame([(i,) for i in range(9)], "fn long").withColumn("file", F.lit("f")).withColumn("name", F.col("fn").cast("string"))
     edges = [(0, 1), (1, 2), (2, 1), (2, 3), (3, 3), (4, 5), (5, 6), (6, 4), (7, 0)]
     e = spark.createDataFrame(edges, "fn long, callee_fn long")
     want = {0: 3.0, 1: 2.0, 2: 2.0, 3: 1.0, 4: 1.0, 5: 1.0, 6: 1.0, 7: 4.0, 8: 1.0}
-    assert {r.fn: r.depth for r in scope.call_depth(e, fns).collect()} == want
+    assert {r.fn: r.depth for r in scope.call_depth(e, fns, packed).collect()} == want
     assert {r.fn: r.depth for r in scope._packed_depth(e, fns, "file").collect()} == want
 
 
+def test_call_depth_of_long_chains(spark):
+    """No limit of rounds: a chain of 1,000 calls, and one in edge tables that is longer than a few rounds."""
+    chain = lambda n: (spark.range(n).selectExpr("id as fn", "id + 1 as callee_fn"), spark.range(n + 1).selectExpr("id as fn"))
+    assert {r.fn: r.depth for r in scope.call_depth(*chain(1000)).collect()} == {i: 1001.0 - i for i in range(1001)}
+    assert {r.fn: r.depth for r in scope.call_depth(*chain(12), 0).collect()} == {i: 13.0 - i for i in range(13)}
+
+
 def test_call_depth_query_takes_every_edge(spark):
     sf = "/root/testdata/sf0.001"
     n = ir.from_lines(spark, sf)
