@@ -10,13 +10,17 @@ from cairn.plans.ir import is_structural
 from cairn.plans.shared import written
 
 
+def average_rank(value: Column, *by: Column | str) -> Column:
+    """Ranks from 1, ties sharing their mean: between a row's first rank and its last, which one window has both."""
+    w = Window.partitionBy(*by)
+    last = F.round(F.cume_dist().over(w.orderBy(value)) * F.count(F.lit(1)).over(w))
+    return (F.rank().over(w.orderBy(value)) + last) / 2
+
+
 def rank01(value: Column, *by: Column | str) -> Column:
     """Rank in [0, 1] among the rows of a partition; ties share their mean rank; alone it is 0.5."""
-    whole = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(whole)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    rank = F.rank().over(whole.orderBy(value))
-    return F.when(n <= 1, F.lit(0.5)).otherwise((rank + (peers - 1) / 2 - 1) / (n - 1))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    return F.when(n <= 1, F.lit(0.5)).otherwise((average_rank(value, *by) - 1) / (n - 1))
 
 
 def global_rank01(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -32,8 +36,12 @@ def global_rank01(rows: DataFrame, value: str, name: str) -> DataFrame:
     before = sums.select("_p", (F.sum("_s").over(every.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(every).alias("_n"))
     first = F.col("_before") + F.sum("_c").over(Window.partitionBy("_p").orderBy("_v")) - F.col("_c")
     rank = F.when(F.col("_n") <= 1, F.lit(0.5)).otherwise((first + (F.col("_c") - 1) / 2) / (F.col("_n") - 1))
-    ranks = ranged.join(F.broadcast(before), "_p").select("_v", rank.alias(name))
-    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+    ranks = ranged.join(F.broadcast(before), "_p").withColumn("_hot", F.col("_c") * 1000 > F.col("_n")).select("_v", "_hot", rank.alias(name))
+    # a value of more than a 1/1000 part of the rows, of which there are fewer than 1000, is broadcast; the others' rows are few
+    hot = ranks.where("_hot").select(F.col("_v").alias("_w"), F.col(name).alias("_r"))
+    tagged = rows.join(F.broadcast(hot), F.col(value).eqNullSafe(F.col("_w")), "left")
+    cold = tagged.where("_r is null").drop("_w", "_r").join(ranks.where(~F.col("_hot")), F.col(value).eqNullSafe(F.col("_v"))).drop("_v", "_hot")
+    return tagged.where("_r is not null").withColumnRenamed("_r", name).drop("_w").select(cold.columns).unionByName(cold)
 
 
 def scored_lines(facts: DataFrame, *keys: str, scores: tuple[str, ...] = ("score",)) -> DataFrame:

@@ -7,17 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.panel import global_rank01
+from cairn.operators.panel import average_rank, global_rank01
 from cairn.plans.shared import written
 
 
-def average_rank(value: Column, *by: Column | str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*by)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(w.orderBy(value)) + (peers - 1) / 2
-
-
 def spearman(rows: DataFrame, a: str, b: str, *by: str, least: int = 2) -> DataFrame:
     """(by, n, rho): Pearson's correlation of average ranks; 0 where a side is constant or rows are too few."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -53,8 +46,12 @@ def fisher_interval(rho: Column, n: Column, z: float = 1.96) -> tuple[Column, Co
 
 def auc(rows: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """(by, pairs, auc): the share of (positive, negative) pairs in order, ties half, from the sum of ranks."""
-    part = by or (F.lit(0),)
-    r = rows.select(*by, F.col(positive).cast("int").alias("p"), average_rank(F.col(score), *part).alias("r"))
+    if by:
+        r = rows.select(*by, F.col(positive).cast("int").alias("p"), average_rank(F.col(score), *by).alias("r"))
+    else:  # ranks of all rows without gathering them
+        both = written(rows.sparkSession, rows.select(F.col(positive).cast("int").alias("p"), F.col(score).alias("_s")), "pairs")
+        n = both.count()
+        r = global_rank01(both, "_s", "_r").select("p", (F.col("_r") * (n - 1) + 1).alias("r"))
     aggs = [F.sum("p").alias("np"), F.sum(1 - F.col("p")).alias("nn"), F.sum(F.when(F.col("p") == 1, F.col("r")).otherwise(0.0)).alias("sr")]
     t = r.groupBy(*by).agg(*aggs) if by else r.agg(*aggs)
     pairs = F.col("np") * F.col("nn")
@@ -130,8 +127,13 @@ def disagreements(rows: DataFrame, a: str, b: str, key: str, *by: str, k: int =
 
 def lead_feature(rows: DataFrame, terms: dict[str, Column], *by: str, least: float = 0.005) -> DataFrame:
     """``rows`` with lead: the term that exceeds its own group's mean by the most, null where none does by ``least``."""
-    w = Window.partitionBy(*(by or (F.lit(0),)))
-    best = F.array_max(F.array(*[F.struct((t - F.avg(t).over(w)).alias("d"), F.lit(n).alias("n")) for n, t in terms.items()]))
+    if by:
+        w = Window.partitionBy(*by)
+        means = {n: F.avg(t).over(w) for n, t in terms.items()}
+    else:  # one row of means
+        one = rows.agg(*(F.avg(t).alias(n) for n, t in terms.items())).first()
+        means = {n: F.lit(one[n]) for n in terms}
+    best = F.array_max(F.array(*[F.struct((t - means[n]).alias("d"), F.lit(n).alias("n")) for n, t in terms.items()]))
     return rows.withColumn("lead", F.when(best["d"] > least, best["n"]))
 
 
@@ -204,19 +206,31 @@ def adopted(results: DataFrame, old: str, new: str) -> DataFrame:
     return t.withColumn("adopt", (2 * F.col("better") > F.col("groups")) & (F.col("mean_new") > F.col("mean_old")))
 
 
-def bootstrap(clusters: DataFrame, value: str, weight: str, key: str, draws: int = 1000, seed: int = 1) -> DataFrame:
+def poisson_steps(most: int = 10) -> list[float]:
+    """The chances that a Poisson(1) variable is at most 0, 1, ..."""
+    out, p, c = [], float(np.exp(-1.0)), 0.0
+    for k in range(most):
+        c += p
+        out.append(c)
+        p /= k + 1
+    return out
+
+
+def either(p: Column) -> Column:
+    """The chance that any of a group's independent events happens: one less the product of their complements."""
+    return -F.expm1(F.sum(F.log1p(-p)))
+
+
+def bootstrap(clusters: DataFrame, value: str, weight: str, key: str, draws: int = 4000, seed: int = 1) -> DataFrame:
     """(mean, low, high, p): the weighted mean over clusters and its percentile interval.
 
-    Each cluster is drawn a Poisson(1) number of times in each replicate, from a hash, so that replicates are
-    sums of one pass and no sample is gathered. p: twice the smaller share of replicates beyond 0, 1/draws at least.
+    Each cluster is drawn a Poisson(1) number of times in each replicate, from a hash of its key, so that replicates
+    are sums of one pass and no sample is gathered. p: twice the smaller share of replicates beyond 0, 1/draws at least.
     """
     b = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    u = (F.pmod(F.xxhash64(key, "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    times, p, c = F.lit(0), np.exp(-1.0), 0.0
-    for k in range(10):
-        c += p
-        times = times + F.when(u > float(c), 1).otherwise(0)
-        p /= k + 1
+    digits = F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.col("b").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    u = (F.conv(F.substring(digits, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
+    times = sum((F.when(u > c, 1).otherwise(0) for c in poisson_steps()), F.lit(0))
     reps = clusters.withColumn("b", b).withColumn("t", times).groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col(weight) * F.col("t")), F.sum(F.col(weight) * F.col("t"))).alias("m")).where("m is not null")
     q = reps.agg(F.sort_array(F.collect_list("m")).alias("m"))
     point = clusters.agg(weighted_mean(F.col(value), F.col(weight)).alias("mean"))
@@ -227,6 +241,12 @@ def bootstrap(clusters: DataFrame, value: str, weight: str, key: str, draws: int
     return point.crossJoin(q).select("mean", low.alias("low"), high.alias("high"), tail.alias("p"))  # one row by one row
 
 
+def paired_bootstrap(clusters: DataFrame, new: str, old: str, weight: str, key: str, draws: int = 4000, seed: int = 1) -> DataFrame:
+    """(mean, low, high, p) of the gain of ``new`` over ``old``, both of the same clusters in each replicate."""
+    gains = clusters.select(key, weight, (F.col(new) - F.col(old)).alias("_gain"))
+    return bootstrap(gains, "_gain", weight, key, draws, seed)
+
+
 def leverage(mutants: DataFrame, *by: str) -> DataFrame:
     """(by, leverage, leverage_no_delete, mutants, kinds) from (divergence, kind): means with and without deletions."""
     other = F.when(F.col("kind") != "delete", F.col("divergence"))

@@ -274,7 +274,7 @@ def pivot_entry_set(spark, sf_dir):
 
 @register("select l_orderkey as fn, round(1 - exp(sum(ln(1 - l_discount))) + 1e-10, 6) as p from lineitem group by 1")
 def noisy_or(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fn")).agg(r6(-F.expm1(F.sum(F.log1p(-F.col("l_discount")))) + 1e-10).alias("p"))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fn")).agg(r6(stats.either(F.col("l_discount")) + 1e-10).alias("p"))
 
 
 @register()
@@ -493,6 +493,27 @@ def javascript_sites(spark, sf_dir):
     return mutation.sites(src, "javascript").groupBy("path", "kind", "detail").agg(F.count("*").alias("sites"))
 
 
+@register(f"""
+with t as (select l_orderkey::varchar as path, {_OPERANDS} from lineitem
+), v as (select path, unnest([q, p, s, k]) as x from t
+), d as (
+  select path, 'cmp' as kind, '<= -> >' as detail from t union all select path, 'bool', '&& -> ||' from t union all select path, 'bin', '- -> +' from t
+  union all select path, 'const', x || ' -> ' || case x when 0 then 1 when 1 then 0 else x + 1 end from v
+), l as (
+  select language, d.* from d, (values ('rust'), ('java'), ('kotlin'), ('go')) n(language)
+  union all select language, path, 'const', '1 -> 0' from t, (values ('java'), ('go')) n(language))
+select language, path, kind, detail, count(*) as sites from l group by all""")
+def lexicon_sites(spark, sf_dir):
+    """Comments nest in two of the languages: in the others the first end leaves a number behind."""
+    q, p, s, k = (F.col(c).cast("int").cast("string") for c in ("l_quantity", "l_partkey", "l_suppkey", "l_linenumber"))
+    src = _sources(spark, sf_dir, F.concat(F.lit("v = "), q, F.lit(" <= "), p, F.lit(" && "), s, F.lit(" - "), k, F.lit(' "a < 2"; /* x /* - */ 1 */ // 3 + 4')))
+    out = None
+    for language in ("rust", "java", "kotlin", "go"):
+        one = mutation.sites(src, language).groupBy("path", "kind", "detail").agg(F.count("*").alias("sites")).select(F.lit(language).alias("language"), "path", "kind", "detail", "sites")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register()
 def mutation_sites(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("source"))
@@ -683,10 +704,77 @@ def adoption(spark, sf_dir):
     return stats.adopted(r, "a", "b").withColumn("mean_old", r6("mean_old")).withColumn("mean_new", r6("mean_new"))
 
 
-@register()
+def _bootstrap_sql(value: str, draws: int = 4000, seed: int = 1) -> str:
+    times = " + ".join(f"(u > {c!r})::int" for c in stats.poisson_steps())
+    return f"""with c as (select l_suppkey as k, {value} as v, count(*) as w from lineitem group by 1)
+, r as (select b, v, w, (('0x' || substr(md5(k::varchar || ':' || b::varchar || ':{seed}'), 1, 10))::bigint + 0.5::double) / {1 << 40}::double as u from c, range({draws}) t(b))
+, m as (select b, sum(v * w * ({times})) / sum(w * ({times})) as m from r group by b having sum(w * ({times})) > 0)
+, q as (select list_sort(list(m)) as m, count_if(m <= 0) / count(*)::double as below from m)
+select round((select sum(v * w) / sum(w) from c), 6) as mean, round(m[floor((len(m) - 1) * 0.025)::int + 1], 6) as low, round(m[floor((len(m) - 1) * 0.975)::int + 1], 6) as high,
+       round(greatest(least(1.0, 2 * least(below, 1 - below)), 1.0::double / {draws}), 6) as p from q"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r6(c).alias(c) for c in df.columns))
+
+
+@register(_bootstrap_sql("avg(l_discount - l_tax)"))
 def bootstrap(spark, sf_dir):
     c = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("v"), F.count("*").alias("w"))
-    return stats.bootstrap(c, "v", "w", "l_suppkey", draws=4000)
+    return _rounded(stats.bootstrap(c, "v", "w", "l_suppkey"))
+
+
+@register(_bootstrap_sql("avg(l_discount) - avg(l_tax) - 0.01"))
+def paired_bootstrap(spark, sf_dir):
+    c = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("a"), (F.avg("l_tax") + 0.01).alias("b"), F.count("*").alias("w"))
+    return _rounded(stats.paired_bootstrap(c, "a", "b", "w", "l_suppkey"))
+
+
+@register("""with d as (select len(text) as score, toxic from documents join labels using (doc_id))
+, c as (select score, count(*) filter (toxic = 1) as p, count(*) filter (toxic = 0) as q from d group by all)
+, k as (select *, coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from c)
+select (sum(p) * sum(q))::bigint as pairs, round(sum(p * (below + q / 2.0)) / (sum(p) * sum(q)), 6)::double as auc from k having sum(p) * sum(q) > 0""")
+def auc_of_all(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select(F.length("text").alias("score"), "toxic")
+    return stats.auc(d, "score", "toxic").withColumn("auc", r6("auc"))
+
+
+@register("""with d as (select len(text) as score, toxic, lang from documents join labels using (doc_id))
+, c as (select lang, score, count(*) filter (toxic = 1) as p, count(*) filter (toxic = 0) as q from d group by all)
+, k as (select *, coalesce(sum(q) over (partition by lang order by score rows between unbounded preceding and 1 preceding), 0) as below from c)
+, a as (select lang, sum(p) * sum(q) as pairs, sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) as auc from k group by lang having sum(p) * sum(q) > 0)
+select count(*) as functions, round(sum(auc * pairs) / sum(pairs), 6)::double as auc from a""")
+def pooled_auc(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("lang", F.length("text").alias("score"), "toxic")
+    return stats.pooled_auc(stats.auc(d, "score", "toxic", "lang")).withColumn("auc", r6("auc"))
+
+
+@register(f"""with r as {_rho_sql('lineitem', 'l_quantity', 'l_extendedprice', 'l_suppkey', 3)}
+select count(*) as functions, round(tanh(sum(atanh(least(greatest(rho, -0.999999), 0.999999)) * (n - 3)) / sum(n - 3)), 6) as rho from r where n >= 5""")
+def pooled_rho(spark, sf_dir):
+    r = stats.spearman(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_suppkey", least=3)
+    return stats.pooled_rho(r).withColumn("rho", r6("rho"))
+
+
+@register("""with r as (select l_suppkey as k, l_extendedprice as truth, l_quantity as score from lineitem), b as (select *, truth >= 60000 as high from r where truth <= 20000 or truth >= 60000)
+, c as (select k, score, count(*) filter (high) as p, count(*) filter (not high) as q from b group by all)
+, s as (select *, coalesce(sum(q) over (partition by k order by score rows between unbounded preceding and 1 preceding), 0) as below from c)
+select k, (sum(p) * sum(q))::bigint as pairs, round(sum(p * (below + q / 2.0)) / (sum(p) * sum(q)), 6)::double as auc from s group by k having sum(p) * sum(q) > 0""")
+def separation(spark, sf_dir):
+    t = F.when(F.col("l_extendedprice") <= 20000, 0.1).when(F.col("l_extendedprice") >= 60000, 0.7).otherwise(0.4)
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), t.alias("t"), F.col("l_quantity").alias("score"))
+    return stats.separation(rows, "t", "score", "leverage", "k").withColumn("auc", r6("auc"))
+
+
+@register("""with g as (select l_suppkey, count(*) as n, count(distinct round(l_linenumber::double, 6)) as d from lineitem group by 1)
+select count(*) as functions, count_if(d = 1) as flat, round(count_if(d = 1)::double / greatest(count(*), 1), 6) as flat_share from g where n >= 3""")
+def flatness(spark, sf_dir):
+    return stats.flatness(read(spark, sf_dir, "lineitem").withColumn("v", F.col("l_linenumber").cast("double")), "v", "l_suppkey").withColumn("flat_share", r6("flat_share"))
+
+
+@register("select l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as mean from lineitem group by 1")
+def weighted_mean(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(r6(stats.weighted_mean(F.col("l_discount"), F.col("l_quantity"))).alias("mean"))
 
 
 @register("select user_id, round(avg(value), 5) as leverage, round(avg(case when event_type <> 'error' then value end), 5) as leverage_no_delete, count(*) as mutants, array_to_string(list_sort(list(distinct replace(event_type, 'error', 'delete'))), ',') as kinds from events group by user_id")

@@ -97,6 +97,24 @@ def test_call_depth_with_cycles(spark, packed):
     assert {r.fn: r.depth for r in scope._packed_depth(e, fns, "file").collect()} == want
 
 
+def test_ranks_of_all_rows(spark):
+    """Values of a third of all rows, rare ones and nulls, against ranks by sorting."""
+    import random
+
+    rng = random.Random(3)
+    values = [0.0] * 1500 + [None] * 40 + [rng.randrange(4000) / 7 for _ in range(2500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(5)
+    order = sorted((v is not None, v or 0.0) for v in values)
+    first, last = {}, {}
+    for i, k in enumerate(order):
+        first.setdefault(k, i)
+        last[k] = i
+    want = {i: (first[k] + last[k]) / 2 / (len(values) - 1) for i, k in enumerate((v is not None, v or 0.0) for v in values)}
+    for ranked in (panel.global_rank01(df, "v", "r"), df.withColumn("r", panel.rank01(F.col("v"), F.lit(1)))):
+        got = {r.id: r.r for r in ranked.collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
 def test_call_depth_of_long_chains(spark):
     """No limit of rounds: a chain of 1,000 calls, and one in edge tables that is longer than a few rounds."""
     chain = lambda n: (spark.range(n).selectExpr("id as fn", "id + 1 as callee_fn"), spark.range(n + 1).selectExpr("id as fn"))
