@@ -1,4 +1,4 @@
-"""Command line: ``python -m cairn PATH [--scope file] [--scorer panel] [--form json] [--out FOLDER]``."""
+"""Command line: ``python -m cairn PATH... [--scope file] [--scorer panel] [--form json] [--out FOLDER]``."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from cairn.sources import trees
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="cairn", description="Ranks and classifies the lines of the functions below a path.")
-    p.add_argument("path")
+    p.add_argument("path", nargs="+")
     p.add_argument("--scope", choices=analyze.SCOPES, default="file")
     p.add_argument("--scorer", choices=SCORERS, default="panel")
     p.add_argument("--form", choices=("json", "sarif", "text", "annotate", "stats"), default="json")
@@ -24,8 +24,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", help="a folder for the output; without one it is printed")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("cairn").getOrCreate()
-    functions, rejected = analyze.guarded(analyze.read(spark, a.path, a.tests), a.max_instructions)
-    sources = trees.sources(spark, a.path, "python", a.tests).select(F.col("rel").alias("file"), "source")
+    functions, rejected = analyze.guarded(analyze.read(spark, *a.path, tests=a.tests), a.max_instructions)
+    sources = None
+    for root in a.path:
+        if not root.endswith(".json"):
+            one = trees.sources(spark, root, "python", a.tests).select(analyze.named(root, F.col("rel"), a.path).alias("file"), "source")
+            sources = one if sources is None else sources.unionByName(one)
     out = analyze.report(functions, analyze.analyse(functions, a.scorer, a.scope), sources, a.form)
     for r in rejected.toLocalIterator():
         print(f"skipped {r['file']}:{r['name']}: {r['error']} ({r['n']} statements)", file=sys.stderr)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
@@ -21,13 +23,30 @@ def lower(spark: SparkSession, root: str, tests: bool = False) -> DataFrame:
     return bytecode.lower_python(trees.sources(spark, root, "python", tests).select(F.col("rel").alias("path"), "source"))
 
 
-def read(spark: SparkSession, root: str, tests: bool = False, synthetic: bool = True) -> DataFrame:
-    """Packed functions of a folder's Python sources, or of wire JSON if ``root`` ends in .json; raises where there is none."""
-    functions = wire.read_wire(spark, root) if root.endswith(".json") else wire.packed(lower(spark, root, tests))
+def named(root: str, file: Column, roots: Sequence[str]) -> Column:
+    """A file's name in an analysis of ``roots``."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), file) if len(roots) > 1 else file
+
+
+def read(spark: SparkSession, *roots: str, tests: bool = False, synthetic: bool = True) -> DataFrame:
+    """Packed functions of all the ``roots`` together: folders of Python sources, and wire JSON where a path ends in .json.
+
+    Raises where there is none. With several roots, a folder's files are named with their folder (``named``).
+    """
+    functions = None
+    for root in roots:
+        if root.endswith(".json"):
+            one = wire.read_wire(spark, root)
+        else:
+            modules = lower(spark, root, tests)
+            one = wire.packed(modules.withColumn("file", named(root, F.col("file"), roots)).withColumn("functions", F.transform("functions", lambda f: f.withField("file", F.lit("")))) if len(roots) > 1 else modules)
+        functions = one if functions is None else functions.unionByName(one, allowMissingColumns=True)
+    if functions is None:
+        raise ValueError("no path is given")
     if not synthetic:
         functions = functions.where(~F.coalesce(paths.is_synthetic(F.col("name"), paths.language(F.col("file"))), F.lit(False)))
     if not functions.take(1):
-        raise ValueError(f"no functions below {root}; sources are known by {paths.supported_extensions()}")
+        raise ValueError(f"no functions below {', '.join(roots)}; sources are known by {paths.supported_extensions()}")
     return functions
 
 

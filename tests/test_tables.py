@@ -372,6 +372,11 @@ def test_analysis_of_a_tree(spark, tmp_path):
     assert [r.file for r in analyze.lower(spark, str(root)).where("error is not null").collect()] == ["bad.py"]
     functions = analyze.read(spark, str(root), synthetic=False)
     assert sorted(r.name for r in functions.collect()) == ["total", "twice"]
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "a.py").write_text("def total(xs):\n    return xs\n")
+    both = analyze.read(spark, str(root), str(other), synthetic=False).collect()
+    assert sorted((r.file, r.name) for r in both) == [(f"{other}/a.py", "total"), (f"{root}/a.py", "total"), (f"{root}/b.py", "twice")] and len({r.fn for r in both}) == 3
     functions.write.parquet(str(tmp_path / "functions"))
     functions = spark.read.parquet(str(tmp_path / "functions"))
     kept, rejected = analyze.guarded(functions, most=12)
