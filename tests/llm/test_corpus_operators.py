@@ -289,6 +289,50 @@ def test_packing_scores_all_terms_of_long_seeds():
     assert abs(score(at[0], at[1]) - max(score(at[0], d) for d in left)) < 1e-3
 
 
+@pytest.mark.parametrize("seed,n,window", [(0, 60, 300), (1, 150, 512), (2, 40, 90)])
+def test_packing_order_matches_brute_force(seed, n, window):
+    """The whole order: every window's seed is searched with all its ids by BM25 against every unused document."""
+    rng = np.random.default_rng(seed)
+    docs = [rng.zipf(1.3, rng.integers(1, 120)) % 400 for _ in range(n)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = sum(map(len, docs)) / n
+    tf = [Counter(d.tolist()) for d in docs]
+
+    def score(q, d):
+        return sum(float(idf[t]) * tf[d][t] * 2.2 / (tf[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in tf[q] if t in tf[d])
+
+    got = packing.order(docs, idf, mean, window)
+    assert sorted(got) == list(range(n))
+    left, filled, seed_, at = set(range(n)), 0, -1, 0
+    while at < n:
+        if seed_ < 0:
+            seed_ = min(left)
+            assert got[at] == seed_
+            left.remove(seed_)
+            at, filled = at + 1, filled + len(docs[seed_])
+        if filled >= window:
+            filled %= window
+            if not filled:
+                seed_ = -1
+                continue
+        found = 0
+        best = sorted((x for x in left if score(seed_, x) > 0), key=lambda x: -score(seed_, x))[:16]
+        for want in best:
+            assert abs(score(seed_, got[at]) - score(seed_, want)) < 1e-4 * (1 + score(seed_, want)) and got[at] in left
+            found += 1
+            d = got[at]
+            left.remove(d)
+            at, filled = at + 1, filled + len(docs[d])
+            if filled >= window:
+                filled %= window
+                seed_ = d if filled else -1
+                break
+        else:
+            if not found:
+                seed_ = -1
+
+
 def test_packing_brings_copies_together_from_far_apart(spark):
     """Near copies lie in different files and thousands of rows apart; a hot text is a third of all rows."""
     rng = random.Random(8)
