@@ -1,15 +1,21 @@
-"""Approximate nearest neighbours by cross-polytope hashing.
-
-A pseudo-rotation (three rounds of random signs and a fast Hadamard transform, on vectors padded to
-a power of two) turns unit vectors; each hashes to its nearest signed axis. A table has ``hashes`` of
-them side by side. All vectors go once to their bucket of each table; a query goes to its own and to
-the next best ``probes``, by default so many that the vectors it meets grow with the 0.8th power of
-all. Buckets with the same first axis meet in one place, in blocks of a bounded size: a query brings
-there the list of its buckets' other axes and is compared with those buckets' vectors only. Distances
-are computed exactly in double precision on the original vectors, and only each query's best ``k``
-leave the block, so no pair of candidates is ever shuffled and a bucket of a third of all rows is just
+"""Nearest neighbours: of each query the ``k`` least distances to all vectors, exactly; or, if asked, by an index.
+
+Every query is compared with every vector, so that what is found depends on no number of vectors, buckets
+or probes. The queries go to a file in the shared folder, which each task reads past chunks of its
+vectors: neither vectors nor pairs are shuffled, only a chunk's best ``k`` of each query. Products in
+single precision, with a bound of their error, tell which groups of vectors can hold one of the
+best; those groups' distances are computed in double precision on the original vectors, and these alone
+decide. The work is the number of queries times that of vectors.
+
+With ``probes``, an index by cross-polytope hashing compares fewer, and misses some: a pseudo-rotation
+(three rounds of random signs and a fast Hadamard transform, on vectors padded to a power of two) turns
+unit vectors; each hashes to its nearest signed axis. A table has ``hashes`` of them side by side. All
+vectors go once to their bucket of each table; a query goes to its own and to the next best ``probes``.
+Buckets with the same first axis meet in one place, in blocks of a bounded size: a query brings there the
+list of its buckets' other axes and is compared with those buckets' vectors only. Only each query's best
+``k`` leave the block, so no pair of candidates is ever shuffled and a bucket of a third of all rows is just
 more blocks. A query's lists are then merged; a query that met fewer than ``k`` is compared with all
-vectors, in blocks.
+vectors, as above.
 
 Vectors that are null, zero, or hold null or other than finite components, or have another length
 than the first of all (the most frequent; of those, the longest) take no part. Ties go to the smaller
@@ -26,23 +32,30 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import ready
-from cairn.plans.shared import written
+from cairn.plans.shared import filesystem, shared_path, written
 
 #: Tables, axes hashed for a table, vectors of a block, queries compared together.
 TABLES, HASHES, BLOCK, TOGETHER = 6, 2, 8192, 256
 #: Results that a task holds before it merges them.
 MERGE = 200_000
+#: Bytes of vectors that a task compares with all queries at once, vectors of one product, vectors of a group.
+CHUNK, TILE, GROUP = 64 << 20, 2048, 16
+#: Squared norms from which a product in single precision may overflow.
+PRECISE = 1e37
 #: Of a table's buckets one in so many is probed among so many vectors, and fewer by this power among more.
 SHARE, AMONG, POWER = 24, 50_000, 0.2
 NO_ID = (1 << 63) - 1
 
 
 def probes_of(n: int, buckets: int) -> int:
-    """How many of a table's buckets a query probes among n vectors."""
+    """Probes to ask of the index for distances that grow with the 0.8th power of n; what is found then depends on n, so
+    only callers who say so get them."""
     return max(1, min(buckets, round(buckets / SHARE * (AMONG / max(n, 1)) ** POWER)))
 
 
@@ -92,6 +105,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 _PLACED = ["bucket", "side", "id", "row", "sub", "vector"]
+_FOUND = ["query_id", "query_row", "vec_id", "vec_row", "score"]
+_FOUND_TYPES = "query_id long, query_row long, vec_id long, vec_row long, score double"
 
 
 def _route(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
@@ -120,13 +135,80 @@ def _route(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes:
                 yield pa.RecordBatch.from_arrays([pa.array(axis[first] * tables + t), pa.array(np.ones(len(first), np.int32)), b.column("id").take(rows), b.column("row").take(rows), lists, raw.take(rows)], _PLACED)
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All in one bucket."""
-    none = np.zeros(1, "<i8").tobytes()
-    for b in batches:
-        raw = pa.array([v.tobytes() for v in _matrix(b.column("vector"))] if b.num_rows else [], pa.binary())
-        n = b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), b.column("side"), b.column("id"), b.column("row"), pa.array([none] * n, pa.binary()), raw, b.column("block")], [*_PLACED, "block"])
+def _every(batches: Iterator[pa.RecordBatch], path: str, k: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk of vectors, the best k of every query in the files of ``path``."""
+    files, root = filesystem(path)
+    names = sorted(f.path for f in files.get_file_info(FileSelector(root)) if f.path.endswith(".parquet"))
+
+    def search(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.Table.from_batches([b.select(["id", "row"]) for b in parts]).combine_chunks().to_batches()[0]
+        row, null = known.column("row").to_numpy(), known.column("id").is_null().to_numpy(zero_copy_only=False)
+        ids = known.column("id").fill_null(NO_ID).to_numpy()
+        n, d = len(row), len(parts[0].column("vector")[0])
+        x = np.zeros((-(-n // TILE) * TILE, d))
+        np.concatenate([_matrix(b.column("vector")) for b in parts], out=x[:n])
+        norm = (x**2).sum(1)
+        # a product is off by less than ``error`` times the sum of both squared norms, and a tiny number where it underflows
+        error = 4 * (d + 4) * 2.0**-24
+        flat = np.empty((len(x), d + 1), np.float32)
+        flat[:, :d], flat[:, d] = x, norm * (1 + error)
+        flat[n:, d] = np.inf
+        most = norm.reshape(-1, GROUP).max(1)
+        loose = np.where(most < PRECISE, 2 * error * most, np.inf)
+        groups = x.reshape(-1, GROUP, d)
+        by_row = np.argsort(row)
+
+        def best(j: np.ndarray, o: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+            order = np.lexsort((row[o], ids[o], null[o], score, j))
+            order = order[np.arange(len(j)) - np.searchsorted(j[order], j[order]) < k]
+            return j[order], o[order], score[order]
+
+        for b in (b for name in names for b in _read(files, name)):
+            y, asked, m = _matrix(b.column("vector")), b.column("row").to_numpy(), b.num_rows
+            own_norm = (y**2).sum(1)
+            right = np.concatenate([-2 * y, np.ones((m, 1))], 1).astype(np.float32).T
+            own = by_row[np.minimum(np.searchsorted(row, asked, sorter=by_row), n - 1)]
+            own = np.where(row[own] == asked, own, -1)
+            near, least = np.empty((TILE, m), np.float32), np.empty((len(groups), m), np.float32)
+            for i in range(0, len(x), TILE):
+                np.matmul(flat[i : i + TILE], right, out=near)
+                here = np.flatnonzero((own >= i) & (own < i + TILE))
+                near[own[here] - i, here] = np.inf
+                near.reshape(-1, GROUP, m).min(1, out=least[i // GROUP : (i + TILE) // GROUP])
+            least = np.ascontiguousarray(least.T)
+            # k groups have a vector within the limit each; what isn't a number is looked at
+            limit = np.partition(least, k - 1, 1)[:, k - 1].astype(np.float64) if k <= len(groups) else np.full(m, np.inf)
+            limit = np.where(own_norm < PRECISE, limit + 2 * error * own_norm + 1e-30, np.inf)
+            j, g = np.nonzero(~(least > limit[:, None] + loose))
+            found = []
+            for lo in range(0, len(j), step := max(1, (1 << 21) // (d * GROUP))):
+                q, near = j[lo : lo + step], groups[g[lo : lo + step]]
+                near -= y[q][:, None]
+                near *= near
+                score = np.sqrt(near.sum(2))
+                o = g[lo : lo + step, None] * GROUP + np.arange(GROUP)
+                real = (o < n) & (o != own[q][:, None]) & ~(score**2 - own_norm[q][:, None] > limit[q][:, None])
+                found.append(best(np.broadcast_to(q[:, None], o.shape)[real], o[real], score[real]))
+            if found:
+                j, o, score = best(*(np.concatenate(c) for c in zip(*found)))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(j)), pa.array(asked[j]), known.column("id").take(pa.array(o)), pa.array(row[o]), pa.array(score)], _FOUND)
+
+    parts, size = [], 0
+    with np.errstate(over="ignore", invalid="ignore"):
+        for b in batches:
+            if b.num_rows:
+                parts.append(b)
+                size += len(b.column("vector").flatten()) * 8
+            if size >= CHUNK:
+                yield from search(parts)
+                parts, size = [], 0
+        if parts:
+            yield from search(parts)
+
+
+def _read(files, name: str) -> Iterator[pa.RecordBatch]:
+    with files.open_input_file(name) as f:
+        yield from pq.ParquetFile(f).iter_batches(TOGETHER, columns=["id", "row", "vector"], use_threads=False)
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -178,7 +260,7 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             j, o, exact = j[order], o[order], exact[order]
             ranked = np.arange(len(j)) - np.searchsorted(j, j) < k
             j, o, exact = part[j[ranked]], c[o[ranked]], exact[ranked]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j], mask=ids[j] == NO_ID), pa.array(row[j]), pa.array(ids[o], mask=ids[o] == NO_ID), pa.array(row[o]), pa.array(exact)], ["query_id", "query_row", "vec_id", "vec_row", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j], mask=ids[j] == NO_ID), pa.array(row[j]), pa.array(ids[o], mask=ids[o] == NO_ID), pa.array(row[o]), pa.array(exact)], _FOUND)
 
     def blocks() -> Iterator[list[pa.RecordBatch]]:
         last, parts = None, []
@@ -208,7 +290,7 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, probes: int | None = None, hashes: int = HASHES, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: of each query the ``k`` nearest found. ``probes``: buckets of a table, by default as ``probes_of`` says."""
+    """query_id, rank (from 1), vec_id, score: of each query the ``k`` nearest of all; with ``probes``, buckets of a table of the index, the ``k`` nearest met there."""
     spark = vectors.sparkSession
     ready(spark)
     v = F.col("vector")
@@ -219,8 +301,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     n = 0
     if usual is not None:
         rows, n = rows.where(F.size("vector") == usual["d"]), usual["count"]
-        if probes is None:
-            probes = probes_of(n, (2 << (usual["d"] - 1).bit_length()) ** hashes)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", F.col("vec_id").asc_nulls_last(), "vec_row"))
+    found = _exact(rows, rows.where("query"), k) if probes is None else _indexed(rows, n, k, tables, probes, hashes, block)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best k of each chunk of ``rows``, of every query asked."""
+    path = shared_path(rows.sparkSession, "ann-queries")
+    asked.select("id", "row", "vector").write.parquet(path)
+    return rows.select("id", "row", "vector").mapInArrow(partial(_every, path=path, k=k), _FOUND_TYPES)
+
+
+def _indexed(rows: DataFrame, n: int, k: int, tables: int, probes: int, hashes: int, block: int) -> DataFrame:
+    """The best k that each query meets in its buckets, of n rows; of those that meet fewer, the best of all."""
+    spark = rows.sparkSession
     placed = "bucket long, side int, id long, row long, sub binary, vector binary"
     routed = rows.mapInArrow(partial(_route, tables=tables, hashes=hashes, probes=probes or 1), placed)
     counts = rows.mapInArrow(partial(_own, tables=tables), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -228,21 +323,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     # vectors fall into one of their bucket's blocks, queries go to all
     spread = F.explode(F.when(F.col("side") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))))
     found = written(spark, _search(routed.join(F.broadcast(blocks), F.col("bucket") == F.col("_b")).withColumn("block", spread), k).dropDuplicates(["query_row", "vec_row"]), "ann-found")  # a row a table and axis
-    # queries with too few: against all vectors, in blocks
+    # queries with too few: against all vectors
     got = found.groupBy("query_row").count()
     short = rows.where("query").join(got, F.col("row") == F.col("query_row"), "left").where(F.coalesce("count", F.lit(0)) < min(k, n - 1)).select("row", "id", "vector")
     if short.take(1):
-        every = n // block + 1
-        asked = short.select(F.lit(1).alias("side"), "id", "row", "vector", F.explode(F.sequence(F.lit(0), F.lit(every - 1))).alias("block"))
-        there = rows.select(F.lit(0).alias("side"), "id", "row", "vector", F.pmod(F.xxhash64("row"), F.lit(every)).cast("int").alias("block"))
-        found = found.unionByName(_search(asked.unionByName(there).mapInArrow(_together, placed + ", block int"), k)).dropDuplicates(["query_row", "vec_row"])
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", F.col("vec_id").asc_nulls_last(), "vec_row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.unionByName(_exact(rows, short, k)).dropDuplicates(["query_row", "vec_row"])
+    return found
 
 
 def _search(placed: DataFrame, k: int) -> DataFrame:
     placed = placed.select("bucket", F.col("block").cast("long").alias("block"), "side", "id", "row", "sub", "vector")
-    return placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(partial(_best, k=k), "query_id long, query_row long, vec_id long, vec_row long, score double")
+    return placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(partial(_best, k=k), _FOUND_TYPES)
 
 
 def _own(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:

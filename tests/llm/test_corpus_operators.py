@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -579,6 +580,53 @@ def test_neighbours_recall_on_the_tables(spark):
     assert hits / n >= 0.9
 
 
+def nearest_by_force(x, ids, asked, k=10):
+    """(query, rank, vector, distance) by position; ties by id, null ids last, then by position."""
+    out = []
+    with np.errstate(over="ignore"):
+        for i in asked:
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            order = np.lexsort((np.arange(len(x)), [0 if v is None else v for v in ids], [v is None for v in ids], d))
+            out += [(i, r, int(j), d[j]) for r, j in enumerate((j for j in order if j != i), 1) if r <= k]
+    return out
+
+
+def test_neighbours_are_the_same_among_more(spark):
+    """All of brute force's neighbours, whatever the number of other vectors: those here are far from all queries."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1500, 64)), 50 * rng.normal(size=(6000, 64))])
+    want = nearest_by_force(x[:1500], range(1500), range(0, 1500, 50))
+    for n in (1500, 2500, 7500):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id long, embedding array<double>")
+        got = rows(ann.nearest(df, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 1500)), "query_id", "rank", "vec_id", "score")
+        assert sorted(got) == want
+
+
+def test_neighbours_of_chunks_against_brute_force(tmp_path, monkeypatch):
+    """Copies, null ids, clusters far from the origin, and norms beyond single and double precision."""
+    monkeypatch.setattr(ann, "CHUNK", 1 << 18)
+    rng = np.random.default_rng(9)
+    copies, norms = rng.normal(size=(3000, 16)), rng.normal(size=(5000, 16))
+    copies[1500:] = copies[:1500]
+    norms[::97], norms[::101], norms[::103], norms[::107] = norms[::97] * 1e12, norms[::101] * 1e25, norms[::103] * 1e180, norms[::107] * 1e-30
+    huge = 1e17 * rng.normal(size=(3000, 16))
+    huge[::53] *= 1e5
+    clusters = 1000 * rng.normal(size=(9, 16))[rng.integers(0, 9, 5000)] + 1e-4 * rng.normal(size=(5000, 16))
+    for name, x, k in (("copies", copies, 10), ("same", np.ones((3000, 16)), 10), ("norms", norms, 10), ("huge", huge, 10), ("clusters", clusters, 10), ("few", norms[:7], 10), ("one", norms[:1], 10), ("many", copies, 700)):
+        ids = [None if i % 5 == 3 else int(i) for i in rng.permutation(len(x))]
+        columns = [pa.array(ids, pa.int64()), pa.array(range(len(x))), pa.FixedSizeListArray.from_arrays(x.ravel(), 16).cast(pa.list_(pa.float64()))]
+        b = pa.RecordBatch.from_arrays(columns, ["id", "row", "vector"])
+        asked = list(range(0, len(x), 53))
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.Table.from_batches([b.take(pa.array(asked))]), tmp_path / name / "q.parquet")
+        by = defaultdict(list)
+        for found in ann._every((b.slice(i, 700) for i in range(0, len(x), 700)), str(tmp_path / name), k):
+            for r in found.to_pylist():
+                by[r["query_row"]].append((r["score"], r["vec_id"] is None, r["vec_id"] or 0, r["vec_row"]))
+        got = [(q, i, row, d) for q in sorted(by) for i, (d, _, _, row) in enumerate(sorted(by[q])[:k], 1)]
+        assert got == nearest_by_force(x, ids, asked, k), name
+
+
 def test_neighbours_without_ids(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (None, [1.0, 0.1]), (7, [1.0, 0.2]), (None, [1.0, 0.3]), (3, [1.0, -0.1])], "vec_id long, embedding array<double>")
     got = rows(ann.nearest(df, F.col("vec_id") % 100 == 0), "rank", "vec_id")
