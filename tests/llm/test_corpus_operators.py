@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats and odd texts."""
 
+import itertools
 import random
 import re
 import zlib
@@ -239,6 +240,43 @@ def test_encoder_restarts(monkeypatch):
         assert all(ids[off[i] : off[i + 1]].tolist() == e.tok.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(t))
 
 
+@pytest.mark.parametrize("kind,name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_encoder_learns_a_word_once_whatever_stops_follow(kind, name, monkeypatch):
+    words = ["".join(x) for x in itertools.product("bdfg", "aeiouäé", "lmnr", "st", "eo", "kx")]
+    e = Encoder(P.path(name), kind)
+    learnt, encode_words = [], e._encode_words
+    monkeypatch.setattr(e, "_encode_words", lambda w: (learnt.append(len(w)), encode_words(w))[1])
+    for stops in ("", ".", ",", "!?", ");", "'", "'s."):
+        t = [f" {' '.join(w + stops for w in words[i : i + 100])}" for i in range(0, len(words), 100)]
+        ids, off = e.encode(pa.array(t))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [x.ids for x in e.tok.encode_batch(t, add_special_tokens=False)]
+    assert sum(learnt) == len(words)
+
+
+@pytest.mark.parametrize("kind,name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_encoder_keeps_what_was_asked_for_twice(kind, name, monkeypatch):
+    import cairn.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "REMEMBER", 400)
+    e = Encoder(P.path(name), kind)
+    for k in range(12):
+        t = [f" often{'abcdef'[i % 6]}, never{'abcdefghijkl'[k]}{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}." for i in range(100)]
+        ids, off = e.encode(pa.array(t))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [x.ids for x in e.tok.encode_batch(t, add_special_tokens=False)]
+        assert len(e.known) <= 400
+    known = set(e.known.to_pylist())
+    assert all(any(x.strip() == f"often{c}" for x in known) for c in "abcdef") and not any("nevera" in x for x in known)
+
+
+@pytest.mark.parametrize("kind,name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+@pytest.mark.parametrize("t", [[], [""], [None], ["", None, "."], ["x", "", "b."]])
+def test_encoder_of_few_texts(kind, name, t):
+    e = Encoder(P.path(name), kind)
+    for a in range(len(t) + 1):
+        ids, off = e.encode(pa.array(t, pa.string())[a:])
+        assert [ids[x:y].tolist() for x, y in zip(off, off[1:])] == [e.tok.encode(x or "", add_special_tokens=False).ids for x in t[a:]]
+
+
 @pytest.mark.parametrize("shard_ids", [4_000_000, 3000])
 def test_packing_covers_every_id_once(docs, nothing, shard_ids):
     got = packing.pack(docs, P.path("word_bpe_49k.json"), window=256, shard_ids=shard_ids).collect()
