@@ -443,3 +443,30 @@ def test_mutants_by_language(spark):
     src = spark.createDataFrame([("a", "x = a + b\ny = 1\n"), ("b", None)], "path string, source string")
     assert {r.mutant for r in mutation.mutants(src, "go").collect()} == {"x = a - b\ny = 1\n", "x = a + b\ny = 0\n"}
     assert mutation.mutants(src, "go", limit=1).count() == 1 and mutation.mutants(src, "python", limit=2).count() == 2
+
+
+def test_counts_of_sites_build_no_site(spark, monkeypatch):
+    """Of random texts of what the scanners tell apart, the counts are those of the sites; plain texts are searched once."""
+    import random
+    from collections import Counter
+
+    from cairn.operators import sitecount
+
+    bits = ["//", "/*", "*/", "/", "*", '"', "'", "`", '"""', 'r"', 'r#"', '"#', 'r##"', 'r###"', '"###', "\\", "\n", " ", "x", "5", "10", "1_0", "0", "1", "1.5", ".5", "5.", "0x1f", "0x_", "1e5", "&&", "||", "<", "<=", "<<", ">", ">=", "->", "=>", "==", "===", "!==", "=", "+", "++", "-", "--", "%", "return", "(", ")", "]", ";", "é", "don't", "$", "'a'", "9" * 25]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([3, 8, 25]))) for _ in range(3000)]
+    for language in mutation.LEXICONS:
+        for t in texts:
+            assert sitecount.site_counts(t, language) == Counter((s.kind, s.detail) for s in mutation.sites_of(t, language)), (language, t)
+    df = spark.createDataFrame([("a", "x = 1 < 2"), ("b", None), ("a", "y = 10 && 1_0")], "path string, source string").coalesce(1)
+    monkeypatch.setattr(sitecount, "SLICE", 1)
+    got = sorted(tuple(r) for b in sitecount._run(df.toArrow().to_batches(), ("java", "javascript")) for r in zip(*b.to_pydict().values()))
+    assert [r[1:] for r in got if r[0] == 0] == [("a", "bool", "&& -> ||", 1), ("a", "cmp", "< -> >=", 1), ("a", "const", "1 -> 0", 1), ("a", "const", "10 -> 11", 2), ("a", "const", "2 -> 3", 1)]
+    assert Counter(r[2] for r in got if r[0] == 1) == {"cmp": 2, "const": 4, "bool": 1}
+    monkeypatch.setattr(mutation, "code_mask", None)
+    assert sitecount.site_counts('v = 1 <= 2 && 3 - 4 "a < 2"; /* x */ // 3 + 4', "rust") == {("const", "1 -> 0"): 1, ("cmp", "<= -> >"): 1, ("const", "2 -> 3"): 1, ("bool", "&& -> ||"): 1, ("const", "3 -> 4"): 1, ("bin", "- -> +"): 1, ("const", "4 -> 5"): 1}
+
+
+def test_numbers_without_end():
+    assert mutation.text_sites("9" * 5000 + " + 1", "java")[-1].detail == "1 -> 0" and len(mutation.text_sites("9" * 5000, "go")) == 0
+    assert mutation.javascript_sites("0x" + "f" * 400 + " + 0x_") == [mutation.Site(1, 403, 404, "-", "bin", "+ -> -")]
