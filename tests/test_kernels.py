@@ -184,3 +184,43 @@ def test_random_functions_by_definition():
             assert len(get(f)) == n, name
         for name in ("score", "schur", "birnbaum", "pivot", "trophic", "strahler"):
             assert all(0 <= x <= 1 and math.isfinite(x) for x in FACTS[name][1](f))
+
+
+def packed(rng, functions):
+    """Random functions as a batch: of all sizes, some with several definitions in a statement, some entered elsewhere."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("nid", pa.int32()), ("line", pa.int32()), *((c, pa.string()) for c in ("kind", "callee", "opacity", "target")), ("defs", pa.list_(pa.int64())), ("uses", pa.list_(pa.int64())), ("succs", pa.list_(pa.int32())), ("label", pa.string())]))
+
+    def one(n):
+        several = n > 20 and rng.random() < 0.3
+        for v in range(n):
+            defs = [1, 2] if several else rng.choice([None, [], [rng.randrange(4)], [rng.randrange(4)]])
+            uses = rng.choice([None, [], [rng.randrange(4)], [rng.randrange(4), rng.randrange(4)]])
+            succs = [rng.randrange(n) if rng.random() < 0.4 else min(n - 1, v + 1) for _ in range(rng.choice([0, 1, 1, 1, 2, 2, 3]))]
+            yield {"nid": v, "line": rng.choice([None, v]), "kind": rng.choice("pure pure call branch return throw state_write".split()), "callee": rng.choice([None, "", "print", "log.info", "m.f"]), "opacity": rng.choice([None, "inert"]), "target": rng.choice([None, "", "x"]), "defs": defs, "uses": uses, "succs": succs, "label": None}
+
+    bodies = [list(one(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12, 17, 31, 32, 40]))) for _ in range(functions)]
+    entry = [rng.choice([0, None, max(0, len(b) - 1)]) for b in bodies]
+    return pa.RecordBatch.from_arrays([pa.array(range(functions), pa.int64()), pa.array(entry, pa.int32()), pa.array(bodies, kind)], ["fn", "entry", "nodes"])
+
+
+def test_many_functions_at_once_as_one_by_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from cairn.operators import batch, kernel
+
+    b = packed(random.Random(11), 400)
+    entry = np.array([e or 0 for e in b.column("entry").to_pylist()])
+    some = np.flatnonzero(batch.lengths(b.column("nodes")))
+    columns = [c for c in kernel.FACTS if c in batch.FACTS or c in kernel.OF_DEPENDENCE]
+    alone = kernel._one_by_one(b.take(pa.array(some)), entry[some], ["fn"], columns, kernel.Denylist())
+    want = {(r["fn"], r["nid"]): r for r in alone.to_pylist()}
+    got = {(r["fn"], r["nid"]): r for x in kernel._run([b], ["fn"], columns, kernel.DEFAULT) for r in x.to_pylist()}
+    assert got == want
+    groups, others = batch.classes(b.column("nodes"), entry)
+    assert all(map(len, groups)) and len(others)
+    small = b.take(pa.array(np.sort(np.concatenate(groups))))
+    monkeypatch.setattr(kernel, "Statement", None)  # small functions are not taken one by one
+    assert sum(x.num_rows for x in kernel._run([small], ["fn"], list(batch.FACTS), kernel.DEFAULT)) == batch.lengths(small.column("nodes")).sum()
