@@ -467,6 +467,19 @@ def test_counts_of_sites_build_no_site(spark, monkeypatch):
     assert sitecount.site_counts('v = 1 <= 2 && 3 - 4 "a < 2"; /* x */ // 3 + 4', "rust") == {("const", "1 -> 0"): 1, ("cmp", "<= -> >"): 1, ("const", "2 -> 3"): 1, ("bool", "&& -> ||"): 1, ("const", "3 -> 4"): 1, ("bin", "- -> +"): 1, ("const", "4 -> 5"): 1}
 
 
+def test_densities_in_one_pass(spark):
+    rows = [(1, 1, False, 2), (1, 1, False, 1), (1, 2, False, 1), (1, 3, True, 2), (2, None, False, 2), (3, 7, True, 2), (4, 4, False, 0), (4, 5, False, 2)]
+    f = spark.createDataFrame(rows, "fn long, line int, structural boolean, tier int")
+    want = {r.fn: (r.size, r.boundary_density) for r in scope.boundary_density(panel.scored_lines(f, "fn", scores=()), f.select("fn").distinct()).collect()}
+    assert {r.fn: (r["size"], r.boundary_density) for r in scope.densities(f).collect()} == want == {1: (2, 0.5), 2: (0, 0.0), 3: (0, 0.0), 4: (2, 0.5)}
+
+
+@pytest.mark.parametrize("name", ["boundary_density", "line_features", "panel_score"])
+def test_functions_are_analysed_once(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("Relation [") == 1 and "file" not in plan.partition("MapInArrow")[2].partition("\n")[0]
+
+
 def test_numbers_without_end():
     assert mutation.text_sites("9" * 5000 + " + 1", "java")[-1].detail == "1 -> 0" and len(mutation.text_sites("9" * 5000, "go")) == 0
     assert mutation.javascript_sites("0x" + "f" * 400 + " + 0x_") == [mutation.Site(1, 403, 404, "-", "bin", "+ -> -")]
