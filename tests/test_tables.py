@@ -480,6 +480,36 @@ def test_functions_are_analysed_once(spark, name):
     assert plan.count("MapInArrow") == plan.count("Relation [") == 1 and "file" not in plan.partition("MapInArrow")[2].partition("\n")[0]
 
 
+def test_python_sites_without_texts(spark, monkeypatch):
+    source = '"""doc"""\nclass A:\n    """d"""\n    def f(self, x=1):\n        """e"""\n        for i in range(3):\n            x += i if i < 2 and x != "a" else -1.5\n        return not x\n'
+    import ast
+
+    n, full = mutation.python_mutants(source)
+    # three deletions, eight constants, three comparisons, one "and", one "+="
+    assert n == len(full) == 16
+    for where in (None, [(7, 7)]):
+        n, full = mutation.python_mutants(source, spans=where, limit=6)
+        monkeypatch.setattr(ast, "unparse", None)
+        assert mutation.python_mutants(source, spans=where, limit=6, texts=False) == (n, [(*m[:3], None) for m in full])
+        monkeypatch.undo()
+    plan = queries.QUERIES["python_mutants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "mutant" not in plan
+
+
+def test_sites_leave_in_slices(monkeypatch):
+    """What a task holds of a batch's sites is bounded, whatever the batch has."""
+    import pyarrow as pa
+
+    texts = ["x = 1 + 2\n" * 50, None, "", "y = 3 && 4"] * 5
+    b = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(20)], "source": texts})
+    whole = [r for x in mutation._sites(iter([b]), "java") for r in x.to_pylist()]
+    monkeypatch.setattr(mutation, "SLICE", 60)
+    parts = list(mutation._sites(iter([b]), "java"))
+    assert [r for x in parts for r in x.to_pylist()] == whole and len(whole) == 5 * 153 and max(x.num_rows for x in parts) < 120
+    python = pa.RecordBatch.from_pydict({"path": ["a", "b"], "source": ["x = 1 + 2\n" * 50, "y = 3"]})
+    assert max(x.num_rows for x in mutation._python(iter([python]), None, True, False)) <= 120
+
+
 def test_numbers_without_end():
     assert mutation.text_sites("9" * 5000 + " + 1", "java")[-1].detail == "1 -> 0" and len(mutation.text_sites("9" * 5000, "go")) == 0
     assert mutation.javascript_sites("0x" + "f" * 400 + " + 0x_") == [mutation.Site(1, 403, 404, "-", "bin", "+ -> -")]
