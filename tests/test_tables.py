@@ -467,6 +467,24 @@ def test_counts_of_sites_build_no_site(spark, monkeypatch):
     assert sitecount.site_counts('v = 1 <= 2 && 3 - 4 "a < 2"; /* x */ // 3 + 4', "rust") == {("const", "1 -> 0"): 1, ("cmp", "<= -> >"): 1, ("const", "2 -> 3"): 1, ("bool", "&& -> ||"): 1, ("const", "3 -> 4"): 1, ("bin", "- -> +"): 1, ("const", "4 -> 5"): 1}
 
 
+def test_depth_rounds_write_calls_that_are_left(spark, monkeypatch):
+    """Of 300 functions and a chain of 6 calls, no round writes a row for each function."""
+    sizes = []
+    real = scope.written
+
+    def counted(session, df, name):
+        out = real(session, df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(scope, "written", counted)
+    fns = spark.range(300).withColumnRenamed("id", "fn")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, 5), (20, 21)], "fn long, callee_fn long")
+    got = {r.fn: r.depth for r in scope.call_depth(edges, fns, packed=0).collect()}
+    assert got == {i: {0: 6.0, 1: 5.0, 2: 4.0, 3: 3.0, 4: 2.0, 20: 2.0}.get(i, 1.0) for i in range(300)}
+    assert max(n for _, n in sizes) == 8 and [n for name, n in sizes if name == "condensed"] == [6, 4, 3, 2, 1, 0]
+
+
 def test_densities_in_one_pass(spark):
     rows = [(1, 1, False, 2), (1, 1, False, 1), (1, 2, False, 1), (1, 3, True, 2), (2, None, False, 2), (3, 7, True, 2), (4, 4, False, 0), (4, 5, False, 2)]
     f = spark.createDataFrame(rows, "fn long, line int, structural boolean, tier int")
